@@ -140,9 +140,9 @@ def shingles_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         take = np.repeat(words.first[:-1][long] - first[:-1][long], number[long]) + np.flatnonzero(np.repeat(long, number))
         out[np.repeat(long, number)] = mix(run[take])
     for i in np.flatnonzero((count > 0) & (count < k)):
-        x = U(count[i])
+        x = np.array([count[i]], U)
         for w in h[words.first[i] : words.first[i + 1]]:
             x = (x ^ w) * U(0xC4CEB9FE1A85EC53)
             x ^= x >> U(29)
-        out[first[i]] = mix(np.array([x], U))[0]
+        out[first[i]] = mix(x)[0]
     return out, first

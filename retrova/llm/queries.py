@@ -7,10 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op8_decontaminate
+from .minhash import op10_minhash
+from .vecdedup import op5_vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_decontaminate": op8_decontaminate}
+    return {
+        "op5_vectors": op5_vectors,
+        "op8_decontaminate": op8_decontaminate,
+        "op10_minhash": op10_minhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
