@@ -8,12 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontam import op8_decontaminate
 from .minhash import op10_minhash
+from .mixing import op6_mixing
+from .tokens import op7_tokens
 from .vecdedup import op5_vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_vectors": op5_vectors,
+        "op6_mixing": op6_mixing,
+        "op7_tokens": op7_tokens,
         "op8_decontaminate": op8_decontaminate,
         "op10_minhash": op10_minhash,
     }

@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from ._spark import cut, ship, table
 from ._text import U, mix
-from .graph import Union, components, in_block_pairs
+from .graph import Union, across_blocks, components, dealt_in_blocks, within_blocks
 
 WIDTH = 2.5
 BUCKET = 256
@@ -157,7 +157,9 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
     grouped = keyed.join(shared, "group", "left_semi")
     type_ = np.dtype(np.float32 if isinstance(element, T.FloatType) else np.float64)
     out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())])
-    found = cut(in_block_pairs(grouped, ["size", "vector", "keys", "nth"], BLOCK, _multiply(cosine, type_), out))
+    dealt = dealt_in_blocks(grouped, BLOCK)
+    parts = [meet(dealt, ["size", "vector", "keys", "nth"], _multiply(cosine, type_), out) for meet in (within_blocks, across_blocks)]
+    found = cut(parts[0].union(parts[1]))
     counts = found.filter("b is null").groupBy(F.col("a").alias("stands")).agg(F.sum("n").alias("others"))
     parts = components(found.filter("b is not null")).select(F.col("node").alias("stands"), "component")
     component = F.coalesce("component", "stands", "id")
