@@ -6,22 +6,31 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
+from .chat import op1_chat
 from .decontam import op8_decontaminate
+from .langid import op9_language
 from .minhash import op10_minhash
 from .mixing import op6_mixing
+from .pii import op4_pii
+from .secrets import op2_secrets
 from .tokens import op7_tokens
 from .vecdedup import op5_vectors
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_chat": op1_chat,
+        "op2_secrets": op2_secrets,
+        "op4_pii": op4_pii,
         "op5_vectors": op5_vectors,
         "op6_mixing": op6_mixing,
         "op7_tokens": op7_tokens,
         "op8_decontaminate": op8_decontaminate,
+        "op9_language": op9_language,
         "op10_minhash": op10_minhash,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_chat": chat.ORACLE}
