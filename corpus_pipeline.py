@@ -1,8 +1,66 @@
-"""A corpus pipeline over the operators of the subpackage llm."""
+"""A corpus pipeline over the operators of the subpackage llm: five filters, each on all that the one before kept.
 
-STAGES = []
+Every stage takes (spark, docs, sf_dir), and its result is written as Parquet and read again as the next one's docs. All but
+the last return the columns of documents; a changed text has its n_chars brought up to date.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from retrova.llm import decontam, langid, linededup, minhash, mixing
+from retrova.llm._spark import shared_folder, table
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: A document that keeps less than this share of its characters was a copy put together from earlier ones.
+LEAST_KEPT = 0.2
+
+
+def _own(docs: DataFrame) -> DataFrame:
+    return docs.select(*COLUMNS)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language that was learnt; null texts and texts without a letter are `und` and go."""
+    model = langid.train(docs.filter(~langid.held_out()))
+    return langid.filter_languages(_own(docs), model)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Remove repeated passages; documents that keep less than LEAST_KEPT of their characters go."""
+    return linededup.filter_lines(_own(docs), least_kept=LEAST_KEPT)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group: five-word shingles, similarity of 0.8 or more. Rows that share an id are one document."""
+    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("of")).distinct()
+    rows = _own(docs)
+    return rows.join(kept, rows.doc_id == kept.of, "left_semi").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents that hold no window of a benchmark item."""
+    return decontam.filter_clean(_own(docs), table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the mix takes, with how many words of each (repeats counted)."""
+    return mixing.op6_rows(docs).filter("taken > 0")
+
+
+STAGES = [("language", language), ("lines", lines), ("near_duplicates", near_duplicates), ("decontaminate", decontaminate), ("mix", mix)]
+#: None of the stages but the last can be put in SQL; tests compare them with brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Apply STAGES to documents; what a stage returns is written to the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

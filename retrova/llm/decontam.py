@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import ship, table
+from ._spark import ship, table, with_rest
 from ._text import ALNUM, LOWER, Texts, U, Words, blocks, hash_spans, mix, spans_of, texts_of, words_of
 
 WINDOW = 10
@@ -132,7 +132,7 @@ def _probe(windows: Windows, prefixes, last: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             number = np.zeros(batch.num_rows, np.int64)
-            earlier = batch.num_columns > 2
+            earlier = "runs" in batch.schema.names
             runs = batch.column("runs").to_pylist() if earlier else [[] for _ in range(batch.num_rows)]
             found = batch.column("items").to_pylist() if earlier else [[] for _ in range(batch.num_rows)]
             for begin, _, texts in blocks(texts_of(batch.column("text"))):
@@ -151,7 +151,8 @@ def _probe(windows: Windows, prefixes, last: bool):
                     inside = np.cumsum(mark[:-1]) > 0
                     runs[begin + d] = np.stack(spans_of(inside, np.array([0, len(inside)])), 1).ravel().tolist()
                     found[begin + d] = sorted({*found[begin + d], *(str(i) for w in each for i in windows.items[w])})
-            columns = {"doc_id": batch.column("doc_id")} | ({} if last else {"text": batch.column("text")})
+            passed = [x for x in ("id", "text", "rest") if x in batch.schema.names and not (last and x == "text" and "rest" not in batch.schema.names)]
+            columns = {x: batch.column(x) for x in passed}
             columns |= {"n_words": pa.array(number), "runs": pa.array(runs, pa.list_(pa.int64())), "items": pa.array(found, pa.list_(pa.string()))}
             yield pa.RecordBatch.from_pydict(columns)
 
@@ -192,19 +193,19 @@ def _benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, index_
         yield block
 
 
-def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, index_words: int = INDEX_WORDS, doc_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """One row a document: doc_id, n_words, runs (flat [start, end) word positions that are hit) and items (sorted as strings).
+def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle: int = SHINGLE, index_words: int = INDEX_WORDS, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """One row a document: id, n_words, runs (flat [start, end) word positions that are hit) and items (sorted as strings).
 
     Null and empty texts have no words, no runs and no items; other columns of either table are ignored, so clashing names
-    do no harm; repeated rows each give a row; an empty benchmark hits nothing. Ties in rarity go to the smaller hash.
+    do no harm (`carry` names some of docs to return, with the text, as struct `rest`); repeated rows each give a row; an empty benchmark hits nothing. Ties in rarity go to the smaller hash.
     """
     if window < 1 or shingle < 1:
         raise ValueError("window and shingle must be positive")
     spark = docs.sparkSession
     ship(spark)
-    texts = docs.select(F.col(text_col).alias("text"))
-    rows = docs.select(F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kept = [T.StructField("doc_id", rows.schema["doc_id"].dataType), T.StructField("text", T.StringType())]
+    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
+    rows = with_rest(docs, id_col, text_col, carry)
+    kept = rows.schema.fields
     added = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
     blocks_ = [Windows(b, window, shingle) for b in _benchmark_blocks(benchmark, item_col, item_text_col, index_words)]
     for n, windows in enumerate(blocks_ or [Windows([], window, shingle)]):
@@ -213,16 +214,23 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle
             counted = texts.mapInArrow(_count_rarity(windows), "k int, shingle long, docs long").groupBy("k", "shingle").agg(F.sum("docs").alias("docs"))
             rarity = {(k, s): n for k, s, n in counted.collect()}  # at most the shingles of one block
         last = n >= len(blocks_) - 1
-        rows = rows.mapInArrow(_probe(windows, _prefixes(windows, rarity), last), T.StructType(kept[:1] + ([] if last else kept[1:]) + added))
+        rows = rows.mapInArrow(_probe(windows, _prefixes(windows, rarity), last), T.StructType(kept[:1] + (kept[1:] if carry or not last else []) + added))
     return rows
 
 
+def filter_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, in which no window of the benchmark occurs."""
+    carry = tuple(c for c in docs.columns if c != text_col)
+    clean = find(docs, benchmark, carry=carry, id_col=id_col, text_col=text_col).filter(F.size("runs") == 0)
+    return clean.select(*(F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark words in every document: the words inside an occurrence of any window, and the items such windows come from."""
     found = find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     hit = F.aggregate(F.sequence(F.lit(1), (F.size("runs") / 2).cast("int")), F.lit(0).cast("long"), lambda s, i: s + F.get("runs", 2 * i - 1) - F.get("runs", 2 * i - 2))
     return found.select(
-        "doc_id",
+        F.col("id").alias("doc_id"),
         "n_words",
         F.when(F.size("runs") > 0, hit).otherwise(F.lit(0).cast("long")).alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),

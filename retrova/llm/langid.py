@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import ship, table
+from ._spark import ship, table, with_rest
 from ._text import Texts, blocks, texts_of
 
 #: Labelled rows that train a language, in expectation: of n rows each is kept with probability TRAINED / n, by a hash.
@@ -189,6 +189,7 @@ def _identify(model, switch: float):
         m: Model = model.value
         names = np.array([*m.languages, "und"], object)
         for batch in batches:
+            rest = ["text", "rest"] if "rest" in batch.schema.names else []
             for i, j, texts in blocks(texts_of(batch.column("text")), BLOCK):
                 n, count = j - i, len(m.languages)
                 best, sure = np.full(n, count), np.zeros(n)
@@ -213,25 +214,32 @@ def _identify(model, switch: float):
                     offsets = np.searchsorted(text[turn], np.arange(n + 1)).astype(np.int32)
                     values = [w.start[turn] - w.at[text[turn]], w.end[last] - w.at[text[turn]], names[label[turn]]]
                 spans = pa.StructArray.from_arrays([pa.array(values[0], pa.int64()), pa.array(values[1], pa.int64()), pa.array(values[2], pa.string())], ["start", "end", "lang"])
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, n), pa.array(names[best], pa.string()), pa.array(np.clip(sure, 0, 1)), pa.ListArray.from_arrays(pa.array(offsets), spans)], ["id", "lang_pred", "score", "spans"])
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, n), pa.array(names[best], pa.string()), pa.array(np.clip(sure, 0, 1)), pa.ListArray.from_arrays(pa.array(offsets), spans), *(batch.column(x).slice(i, n) for x in rest)], ["id", "lang_pred", "score", "spans"] + rest)
 
     return run
 
 
-def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model, *, switch: float = SWITCH, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, lang_pred, score (0 to 1) and spans of one language (start and end in code points, end exclusive).
 
     `und`, score 0 and no spans for null texts, texts without letters, and every text if no row was labelled. The score is the
     share of letters on the path in that language times its odds on those words. Ties go to the language first in order.
-    Repeated rows give a row each; other columns are ignored.
+    Repeated rows give a row each; other columns are ignored, but `carry` names some to return, with the text, as struct `rest`.
     """
     ship(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = with_rest(docs, id_col, text_col, carry)
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("lang", T.StringType())])
-    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span))])
+    out = T.StructType([T.StructField("id", rows.schema["id"].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(span)), *rows.schema.fields[1 if carry else 2 :]])
     return rows.mapInArrow(_identify(docs.sparkSession.sparkContext.broadcast(model), switch), out)
 
 
+def filter_languages(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose text is in a language of the model."""
+    carry = tuple(c for c in docs.columns if c != text_col)
+    known = identify(docs, model, carry=carry, id_col=id_col, text_col=text_col).filter("lang_pred <> 'und'")
+    return known.select(*(F.col("text" if c == text_col else f"rest.`{c}`").alias(c) for c in docs.columns))
+
+
 def held_out(id_col: str = "doc_id"):
     """Rows that training never sees: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))

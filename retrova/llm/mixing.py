@@ -157,8 +157,8 @@ def _small(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= BROADCAST_PATTERNS else plan
 
 
-def mix(docs: DataFrame, sources, quotas=None, *, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict, dict]:
-    """(rows with id, pattern, size and taken; sizes of the sources; their targets).
+def mix(docs: DataFrame, sources, quotas=None, *, repeats: int = REPEATS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, dict, dict, dict]:
+    """(rows with id, pattern, size and taken; sizes of the sources; their targets; sources of each pattern).
 
     `sources` is an array column: a document may belong to several. `quotas` gives the words wanted of each source from the
     sources' sizes (default: `targets`). A null text has size 0; a null source is a source of its own; a document of no
@@ -175,12 +175,17 @@ def mix(docs: DataFrame, sources, quotas=None, *, repeats: int = REPEATS, seed:
     goal = (quotas or targets)(sizes) if sizes else {}
     flow = route({members[p]: n for p, n in mass.items()}, {s: round(w) for s, w in goal.items()}, repeats)
     wanted = {p: min(repeats * mass[p], sum(flow[members[p]].values())) for p in mass if p is not None}
-    return select(rows, wanted, mass), sizes, goal
+    return select(rows, wanted, mass), sizes, goal, members
 
 
-def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix takes of every document: sources weigh 3, 1, 2 in turn and share 150 % of all words."""
-    rows, sizes, goal = mix(table(spark, sf_dir, "documents"), F.array("source"))
+def op6_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, size, source_size, target (of its source) and taken for documents(doc_id, source, text)."""
+    rows, sizes, goal, members = mix(docs, F.array("source"))
     shape = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType())])
-    facts = spark.createDataFrame([(json.dumps([s], ensure_ascii=False, separators=(",", ":")), sizes[s], goal[s]) for s in sizes], shape)
+    facts = docs.sparkSession.createDataFrame([(p, sizes[s], goal[s]) for p, (s,) in members.items()], shape)
     return rows.join(_small(facts), "pattern", "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document: sources weigh 3, 1, 2 in turn and share 150 % of all words."""
+    return op6_rows(table(spark, sf_dir, "documents"))

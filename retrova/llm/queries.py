@@ -10,6 +10,7 @@ from . import chat
 from .chat import op1_chat
 from .decontam import op8_decontaminate
 from .langid import op9_language
+from .linededup import op3_lines
 from .minhash import op10_minhash
 from .mixing import op6_mixing
 from .pii import op4_pii
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
         "op2_secrets": op2_secrets,
+        "op3_lines": op3_lines,
         "op4_pii": op4_pii,
         "op5_vectors": op5_vectors,
         "op6_mixing": op6_mixing,
