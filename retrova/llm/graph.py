@@ -31,27 +31,18 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def dealt_in_blocks(grouped: DataFrame, block: int) -> DataFrame:
-    """Add block and blocks: a group of n rows is dealt by a hash of id into ceil(n / block) blocks."""
-    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    return grouped.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-
-
-def within_blocks(dealt: DataFrame, payload: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema) -> DataFrame:
-    """Run work on each block of each group: it gets the block's rows as an Arrow table and is to compare all of them."""
-    rows = dealt.select("group", F.col("block").alias("i"), F.col("block").alias("j"), "id", "block", *payload)
-    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _each_key(batches, work), schema)
+def in_block_pairs(grouped: DataFrame, payload: list[str], block: int, work: Callable[[pa.Table], pa.RecordBatch], schema) -> DataFrame:
+    """Run work on every pair of blocks of every group of grouped(group, id, *payload).
 
-
-def across_blocks(dealt: DataFrame, payload: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema) -> DataFrame:
-    """Run work on each pair i < j of blocks of a group: it is to compare the rows of i with those of j.
-
-    With within_blocks, every pair of rows of a group is met exactly once, and no task holds more than about two blocks.
+    A group of n rows is dealt by a hash of id into ceil(n / block) blocks. work gets the rows of one pair (i, j), i <= j, as
+    an Arrow table with the column block besides: for i = j it is to compare all rows, else those of i with those of j. So
+    every pair of rows of a group is met exactly once and no task holds more than about two blocks.
     """
+    sizes = grouped.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = grouped.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = dealt.filter("blocks > 1").select("group", "id", "block", *payload, other).filter("block <> other")
-    rows = rows.select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", *payload)
-    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _each_key(batches, work), schema)
+    dealt = dealt.select("group", "id", "block", *payload, other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", *payload)
+    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _each_key(batches, work), schema)
 
 
 def _each_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

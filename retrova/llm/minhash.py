@@ -6,8 +6,8 @@
 3. Classes that share a band key are candidates: each bucket links its members to its smallest one, and the connected
    components of those links are candidate groups. No bucket is ever collected.
 4. Inside a group all pairs are met block by block: the signatures' equal bits, corrected for chance collisions, estimate the
-   similarity; pairs that may reach the threshold are confirmed on the full sets, unless already connected. First each block
-   is done by itself; pairs of blocks then start from those components, and emit only what still connects different ones.
+   similarity; pairs that may reach the threshold are confirmed on the full sets, unless already connected. A pair of blocks
+   first connects each block by itself, as that block's own task does, and so emits only what connects components of both.
 5. Components of the confirmed links are the result.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from ._spark import cut, ship, table
 from ._text import NOT_SPACE, U, blocks, mix, shingles_of, texts_of, words_of
-from .graph import Union, across_blocks, components, dealt_in_blocks, within_blocks
+from .graph import Union, components, in_block_pairs
 
 HASHES, ROWS, BANDS, BITS = 256, 7, 36, 2
 #: A pair is confirmed unless its estimate is this far below the threshold: over four standard errors.
@@ -135,25 +135,26 @@ def _confirm(percent: int):
         sets = [np.frombuffer(x, U) for x in rows.column("set").to_pylist()]
         size = np.array([len(x) for x in sets])
         within = rows.column("i")[0] == rows.column("j")[0]
-        left = np.arange(len(ids)) if within else np.flatnonzero(block == block.min())
-        right = left if within else np.flatnonzero(block != block.min())
         known, out = Union(len(ids)), []
-        if "label" in rows.schema.names:
-            first: dict = {}
-            for n, label in enumerate(rows.column("label").to_pylist()):
-                known.join(first.setdefault(label, n), n)
-        if len(left) and len(right):
-            likely = estimate(bits[left], bits[right]) >= percent / 100 - MARGIN
-            likely &= 100 * np.minimum(size[left, None], size[None, right]) >= percent * np.maximum(size[left, None], size[None, right])
-            if within:
-                likely = np.triu(likely, 1)
-            for x, y in zip(*(v.tolist() for v in np.nonzero(likely)), strict=True):
-                a, b = int(left[x]), int(right[y])
+
+        def connect(left: np.ndarray, right: np.ndarray | None, told: bool) -> None:
+            other = left if right is None else right
+            likely = estimate(bits[left], bits[other]) >= percent / 100 - MARGIN
+            likely &= 100 * np.minimum(size[left, None], size[None, other]) >= percent * np.maximum(size[left, None], size[None, other])
+            for x, y in zip(*(v.tolist() for v in np.nonzero(np.triu(likely, 1) if right is None else likely)), strict=True):
+                a, b = int(left[x]), int(other[y])
                 if known.find(a) != known.find(b):
                     both = _overlap(sets[a], sets[b])
                     if 100 * both >= percent * (int(size[a]) + int(size[b]) - both):
                         known.join(a, b)
-                        out.append((ids[a], ids[b]))
+                        if told:
+                            out.append((ids[a], ids[b]))
+
+        each = [np.flatnonzero(block == n) for n in np.unique(block)]
+        for own in each:
+            connect(own, None, within)
+        if len(each) == 2:
+            connect(*each, True)
         kind = rows.schema.field("id").type
         return pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], kind), pa.array([y for _, y in out], kind)], ["a", "b"])
 
@@ -190,15 +191,8 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, percent: int = 80, id_
     grouped = grouped.join(leaders.select("id", "bits"), "id").join(rows, "id").select("group", "id", "bits", "text")
     shape = T.StructType([T.StructField("group", kind), T.StructField("id", kind), T.StructField("bits", T.BinaryType()), T.StructField("set", T.BinaryType())])
     grouped = grouped.mapInArrow(_sets(shingle), shape)
-    dealt = cut(dealt_in_blocks(grouped, GROUP_BLOCK))
-    link = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-    links = cut(within_blocks(dealt, ["bits", "set"], _confirm(percent), link))
-    labels = components(links).withColumnRenamed("node", "id")
-    labelled = dealt.filter("blocks > 1").join(labels, "id", "left").withColumn("label", F.coalesce("component", "id"))
-    more = cut(across_blocks(labelled, ["bits", "set", "label"], _confirm(percent), link))
-    if not more.isEmpty():
-        labels = components(links.union(more)).withColumnRenamed("node", "id")
-    found = labels.select(F.col("id").alias("stands"), "component")
+    links = in_block_pairs(grouped, ["bits", "set"], GROUP_BLOCK, _confirm(percent), T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    found = components(links).select(F.col("node").alias("stands"), "component")
     component = F.coalesce("component", "stands", "id")
     return members.join(found, "stands", "left").select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
