@@ -2,7 +2,7 @@
 
 A hash of a normalised vector v is floor((a . v + b) / WIDTH) with a Gaussian (2-stable) direction a and a seeded shift b; a
 table's key joins `k` of them. k grows with the logarithm of the number of vectors, so that about BUCKET unrelated vectors
-share a bucket at every size, and the number of tables follows from k and the wanted recall. All pairs of a bucket are
+share a bucket at every size (of 32-bit keys), and the number of tables follows from k and the wanted recall. All pairs of a bucket are
 multiplied out block by block in double precision; a pair that shares several buckets counts in the first only. Equal vectors
 are one class and never expanded.
 """
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._spark import cut, ship, table
-from ._text import U, mix
-from .graph import Union, across_blocks, components, dealt_in_blocks, within_blocks
+from ._text import U, mix, texts_of
+from .graph import Union, components, in_block_pairs
 
 WIDTH = 2.5
 BUCKET = 256
@@ -85,14 +85,14 @@ def _hash(k: int, tables: int, seed: int):
                     shapes[d] = rng.standard_normal((d, k * tables)), rng.uniform(0, WIDTH, k * tables)
                 a, b = shapes[d]
                 cells = np.floor((unit(m) @ a + b) / WIDTH).astype(np.int64).view(U).reshape(len(m), tables, k)
-                h = np.tile(np.arange(1, tables + 1, dtype=U) + U(d << 20), (len(m), 1))
+                h = np.full((len(m), tables), U(d))
                 for n in range(k):
                     h = mix(h ^ (cells[:, :, n] * U(0x9E3779B97F4A7C15)))
                 m = m + m.dtype.type(0)  # -0.0 and 0.0 are one class
-                for r, v, x in zip(rows.tolist(), m, h.view(np.int64), strict=True):
+                for r, v, x in zip(rows.tolist(), m, (h >> U(32)).astype(np.uint32).view(np.int32), strict=True):
                     vector[r], keys[r] = v.tobytes(), x
                     digest[r] = xxhash.xxh3_128_digest(vector[r])
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "digest", "vector", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(digest, pa.binary()), pa.array(vector, pa.binary()), pa.array(keys, pa.list_(pa.int32()))], ["id", "digest", "vector", "keys"])
 
     return run
 
@@ -101,12 +101,17 @@ def _multiply(cosine: float, kind: np.dtype):
     """Of a pair of blocks of a bucket: how many vectors each links with (b null), and links that connect the same (n = 0)."""
 
     def run(rows: pa.Table) -> pa.RecordBatch:
-        ids = rows.column("id").to_pylist()
-        block = np.array(rows.column("block").to_pylist())
-        size = np.array(rows.column("size").to_pylist())
-        keys = np.array(rows.column("keys").to_pylist(), np.int64)
-        here = np.array(rows.column("nth").to_pylist())
-        v = unit(np.array([np.frombuffer(x, kind) for x in rows.column("vector").to_pylist()]))
+        of = rows.schema.field("id").type
+        column = {name: rows.column(name).combine_chunks() for name in rows.schema.names}
+        ids = column["id"]
+        block, size, here = (column[name].to_numpy() for name in ("block", "size", "nth"))
+        raw = texts_of(column["vector"])
+        width = np.diff(raw.offsets)
+        if (width != width[0]).any():  # two dimensions under one key
+            parts = [run(rows.filter(pa.array(width == w))) for w in np.unique(width)]
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+        keys = column["keys"].flatten().to_numpy().reshape(len(ids), -1)
+        v = unit(raw.data.view(kind).reshape(len(ids), -1))
         within = rows.column("i")[0] == rows.column("j")[0]
         left = np.arange(len(ids)) if within else np.flatnonzero(block == block.min())
         right = left if within else np.flatnonzero(block != block.min())
@@ -121,14 +126,13 @@ def _multiply(cosine: float, kind: np.dtype):
         count = np.zeros(len(ids), np.int64)
         np.add.at(count, x, size[y])
         np.add.at(count, y, size[x])
-        known, a, b, n = Union(len(ids)), [], [], []
-        for p, q in zip(x.tolist(), y.tolist(), strict=True):
-            if known.join(p, q):
-                a.append(ids[p]), b.append(ids[q]), n.append(0)
-        for p in np.flatnonzero(count).tolist():
-            a.append(ids[p]), b.append(None), n.append(int(count[p]))
-        of = rows.schema.field("id").type
-        return pa.RecordBatch.from_arrays([pa.array(a, of), pa.array(b, of), pa.array(n, pa.int64())], ["a", "b", "n"])
+        known = Union(len(ids))
+        tree = [(p, q) for p, q in zip(x.tolist(), y.tolist(), strict=True) if known.join(p, q)]
+        some = np.flatnonzero(count)
+        a = np.concatenate([np.array([p for p, _ in tree], np.int64), some])
+        b = pa.array([q for _, q in tree] + [None] * len(some), pa.int64())
+        n = np.concatenate([np.zeros(len(tree), np.int64), count[some]])
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(b), pa.array(n)], pa.schema([("a", of), ("b", of), ("n", pa.int64())]))
 
     return run
 
@@ -146,20 +150,19 @@ def near_duplicates(vectors: DataFrame, *, cosine: float = 0.9, recall: float =
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v"))
     kind, element = rows.schema["id"].dataType, rows.schema["v"].dataType.elementType
     k, tables = plan(rows.count(), cosine, recall)
-    hashed_type = T.StructType([T.StructField("id", kind), T.StructField("digest", T.BinaryType()), T.StructField("vector", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    hashed_type = T.StructType([T.StructField("id", kind), T.StructField("digest", T.BinaryType()), T.StructField("vector", T.BinaryType()), T.StructField("keys", T.ArrayType(T.IntegerType()))])
     hashed = cut(rows.mapInArrow(_hash(k, tables, seed), hashed_type))
     usable = hashed.filter("digest is not null and id is not null")
     classes = usable.groupBy("digest").agg(F.min("id").alias("stands"), F.count("*").alias("size"))
     members = hashed.select("id", "digest").join(classes, "digest", "left").select("id", "stands", "size")
     leaders = usable.join(classes, "digest").filter("id = stands").dropDuplicates(["id"]).select("id", "size", "vector", "keys")
-    keyed = leaders.select("*", F.posexplode("keys").alias("nth", "group"))
-    shared = leaders.select(F.explode("keys").alias("group")).groupBy("group").count().filter("count > 1").select("group")
+    group = F.shiftleft(F.col("nth").cast("long"), 32).bitwiseOR(F.col("key").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
+    keyed = leaders.select("*", F.posexplode("keys").alias("nth", "key")).withColumn("group", group)
+    shared = leaders.select(F.posexplode("keys").alias("nth", "key")).select(group.alias("group")).groupBy("group").count().filter("count > 1").select("group")
     grouped = keyed.join(shared, "group", "left_semi")
     type_ = np.dtype(np.float32 if isinstance(element, T.FloatType) else np.float64)
     out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("n", T.LongType())])
-    dealt = dealt_in_blocks(grouped, BLOCK)
-    parts = [meet(dealt, ["size", "vector", "keys", "nth"], _multiply(cosine, type_), out) for meet in (within_blocks, across_blocks)]
-    found = cut(parts[0].union(parts[1]))
+    found = cut(in_block_pairs(grouped, ["size", "vector", "keys", "nth"], BLOCK, _multiply(cosine, type_), out))
     counts = found.filter("b is null").groupBy(F.col("a").alias("stands")).agg(F.sum("n").alias("others"))
     parts = components(found.filter("b is not null")).select(F.col("node").alias("stands"), "component")
     component = F.coalesce("component", "stands", "id")
