@@ -1 +1 @@
-
+"""Streams: token buckets, micro-batches and incremental ingest."""
