@@ -10,7 +10,7 @@ the hash is greater than at both sides, catches more of the passages that are to
 2. The texts of chunks whose hash is repeated, and only those, are fetched and grouped by hash and bytes, so what is removed
    has been compared byte for byte.
 3. All occurrences but the first, by id and place, go; so do the lines beside them, as far as they equal the lines beside the
-   first, up to REACH on each side: the ends of a passage that chunks don't meet.
+   first, up to REACH on each side where no other repeated chunk follows: the ends of a passage that chunks don't meet.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ LEAST_WORDS = 8
 PARAGRAPH = 20
 WRAP = 6
 DIVISIONS = 1
-REACH = 8
+REACH = 4
 #: Bytes, by estimate, of what may be broadcast to be joined to the documents; beyond it the join shuffles.
 BROADCAST_BYTES = 32_000_000
 _STOP = np.zeros(256, bool)
@@ -142,14 +142,16 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows, at, size, hashes, body, before, after = [], [], [], [], [], [], []
             for d in range(j - i):
                 low, high = int(lines.first[d]), int(lines.first[d + 1])
+                own = set(asked[i + d])
                 for k in asked[i + d]:
                     c = division[k % DIVISIONS]
                     n = int(c.first[d]) + k // DIVISIONS
                     a, b = int(c.head[n]), int(c.head[n + 1])
                     rows.append(d), at.append(a - low), size.append(b - a), hashes.append(c.hash[n].view(np.int64))
                     body.append(b"\n".join(line(x) for x in range(a, b)))
-                    before.append([line(x) for x in range(a - 1, max(low, a - REACH) - 1, -1)])
-                    after.append([line(x) for x in range(b, min(high, b + REACH))])
+                    # beside a repeated chunk there is nothing to reach for
+                    before.append([] if k - DIVISIONS in own else [line(x) for x in range(a - 1, max(low, a - REACH) - 1, -1)])
+                    after.append([] if k + DIVISIONS in own else [line(x) for x in range(b, min(high, b + REACH))])
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(hashes, pa.int64()), pa.array(body, pa.binary()), pa.array(before, pa.list_(pa.binary())), pa.array(after, pa.list_(pa.binary()))], ["id", "at", "size", "hash", "body", "before", "after"])
 
 
@@ -181,9 +183,9 @@ def _alike(a: str, b: str) -> Column:
     return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
 
 
-def _attached(rows: DataFrame, each: DataFrame, entries: str, how: str) -> DataFrame:
+def _attached(rows: DataFrame, each: DataFrame, entries: str, how: str, width: int) -> DataFrame:
     """Join each(of, entries), one row an id, to the documents by id: broadcast if it is small, else by a shuffle."""
-    size = each.agg(F.sum(F.size(entries) * 24 + 64)).first()[0] or 0
+    size = each.agg(F.sum(F.size(entries) * width + 64)).first()[0] or 0
     return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each, rows["id"] == each["of"], how).drop("of")
 
 
@@ -202,7 +204,7 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     chunks = rows.filter("id is not null and text is not null").mapInArrow(_listed(least_words), of(nth, key))
     repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
     asked = cut(chunks.join(repeated, "hash", "left_semi").groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("nth")).alias("nths")))
-    fetched = cut(_attached(rows, asked, "nths", "inner").mapInArrow(_fetched, of(("at", number), ("size", number), key, ("body", T.BinaryType()), ("before", lines), ("after", lines))))
+    fetched = cut(_attached(rows, asked, "nths", "inner", 8).mapInArrow(_fetched, of(("at", number), ("size", number), key, ("body", T.BinaryType()), ("before", lines), ("after", lines))))
     firsts = fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at", F.col("before").alias("b"), F.col("after").alias("a"))).alias("f"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))
     reach = later.select("id", "at", "size", _alike("before", "f.b").alias("back"), _alike("after", "f.a").alias("on"))
@@ -210,7 +212,7 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     gone = cut(reach.select("id", gone.alias("g")).groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("g")).alias("gone")))
     rows = with_rest(docs, id_col, text_col, carry)
     out = of(("text", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()))
-    return _attached(rows, gone, "gone", "left").mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))
+    return _attached(rows, gone, "gone", "left", 32).mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))
 
 
 def filter_lines(docs: DataFrame, *, least_kept: float = 0.2, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
