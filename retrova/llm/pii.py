@@ -5,9 +5,9 @@ other terms reveal them: for a term t in the surroundings of an entity e, disclo
 t, and its information is log2(p(e | t) / p(e)) bits. A term that at least SUPPORT documents tie to an entity, and whose
 information reaches BITS, is removed wherever it stands if its disclosure reaches REMOVE, and generalised from GENERALISE.
 
-Plan: one pass finds entities and the terms around them; pairs are counted with map-side combining; a second pass counts the
-documents of the candidate terms only; the last pass finds every span. Text is shuffled only if the terms' documents don't fit
-a broadcast.
+Plan: one pass finds entities and the terms around them; pairs and the documents of each term are counted with map-side
+combining; a third pass keeps the documents of the disclosing terms, which are few; the last one finds every span. Text is
+shuffled only if those documents don't fit a broadcast.
 """
 
 from __future__ import annotations
@@ -116,14 +116,12 @@ def disclosing_terms(docs: DataFrame, *, support: int = SUPPORT, bits: float = B
     entities = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
     tied = seen.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
     tied = cut(tied.join(entities, "entity"))
-    candidates = tied.select("term").distinct()
     words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
-    held = cut(words.join(_fits(candidates, F.length("term")), "term", "left_semi"))
     number = F.lit(docs.count())
     information = F.log2(F.col("n_both") * number / (F.col("n_term") * F.col("n_entity")))
-    shown = tied.join(held.groupBy("term").agg(F.count("*").alias("n_term")), "term").select("term", (F.col("n_both") / F.col("n_term")).alias("disclosure"), information.alias("bits"))
+    shown = tied.join(words.groupBy("term").agg(F.count("*").alias("n_term")), "term").select("term", (F.col("n_both") / F.col("n_term")).alias("disclosure"), information.alias("bits"))
     shown = cut(shown.filter((F.col("bits") >= bits) & (F.col("disclosure") >= generalise)).groupBy("term").agg(F.max("disclosure").alias("disclosure"), F.max("bits").alias("bits")))
-    marked = held.join(_fits(shown, F.length("term")), "term").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("terms"))
+    marked = words.join(_fits(shown, F.length("term")), "term").groupBy("id").agg(F.sort_array(F.collect_set(F.struct("term", "disclosure"))).alias("terms"))
     return marked, shown
 
 
