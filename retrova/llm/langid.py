@@ -28,7 +28,7 @@ SWITCH = 8.0
 #: Trigrams overlap, so their log-likelihoods are damped.
 DAMP = 0.5
 FORBIDDEN = -60.0
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 
 #: First code points of the ranges whose letters tell the script (fixed values); what lies between belongs to the one before.
 SCRIPTS = (
@@ -92,7 +92,7 @@ def _words(texts: Texts) -> Letters:
     h = (left * np.uint32(0x9E3779B1)) ^ (c * np.uint32(0x85EBCA6B)) ^ (right * np.uint32(0xC2B2AE35))
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x2C1B3C6D)
-    return Letters(start, end, script[start].astype(np.int64) - 1, np.searchsorted(start, at), at, (h >> np.uint32(16)).astype(np.int64), head)
+    return Letters(start, end, script[start].astype(np.int64) - 1, np.searchsorted(start, at), at, (h >> np.uint32(16)).astype(np.int32), head)
 
 
 class Model(NamedTuple):
