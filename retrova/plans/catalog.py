@@ -14,7 +14,8 @@ from ..functions import text as X
 from ..functions import vector as V
 from ..operators import answer, chunk, embed, graphindex, metrics, rank, report, search, stats
 from ..sources import beir, fvecs, results
-from ..streaming import bucket, ingest, microbatch
+from ..streaming import bucket, ingest
+from ..streaming import microbatch as waiting
 from . import experiment as E
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -167,12 +168,19 @@ def plot_series(spark, sf):
 
 # ---- chunkers -------------------------------------------------------------------------------------------------------
 
-FIXED = f"""w AS (SELECT doc_id, {WORDS} AS w FROM documents),
-chunks AS (SELECT doc_id, CAST(i AS BIGINT) AS pos, doc_id || '#' || i AS chunk_id, array_to_string(w[i * {SIZE - OVERLAP} + 1 : i * {SIZE - OVERLAP} + {SIZE}], ' ') AS text
-  FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= {SIZE} THEN 1 ELSE CAST(ceil((len(w) - {SIZE}) / {SIZE - OVERLAP}.0) AS BIGINT) + 1 END)) AS i FROM w))"""
+def fixed_sql(size: int, overlap: int) -> str:
+    """SQL for chunks(doc_id, pos, chunk_id, text) in fixed windows."""
+    step = size - overlap
+    return f"""w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+chunks AS (SELECT doc_id, CAST(i AS BIGINT) AS pos, doc_id || '#' || i AS chunk_id, array_to_string(w[i * {step} + 1 : i * {step} + {size}], ' ') AS text
+  FROM (SELECT doc_id, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= {size} THEN 1 ELSE CAST(ceil((len(w) - {size}) / {step}.0) AS BIGINT) + 1 END)) AS i FROM w))"""
 
 
-@query(r"SELECT doc_id, CAST(0 AS BIGINT) AS pos, doc_id || '#0' AS chunk_id, t AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM documents) WHERE t <> ''")
+FIXED = fixed_sql(SIZE, OVERLAP)
+WHOLE = r"""chunks AS (SELECT doc_id, CAST(0 AS BIGINT) AS pos, doc_id || '#0' AS chunk_id, t AS text FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') AS t FROM documents) WHERE t <> '')"""
+
+
+@query(f"WITH {WHOLE} SELECT * FROM chunks")
 def chunk_whole(spark, sf):
     return chunk.whole(table(spark, sf, "documents"))
 
@@ -372,7 +380,9 @@ def bow_cosine(spark, sf):
     return _bag_hits(spark, sf, K).withColumn("score", F.round("score", 6))
 
 
-COLLAPSED = f"""{FIXED}, {_bag('chunks', 'chunk_id')}, hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage) AS rank, passage AS chunk_id, score FROM scored QUALIFY rank <= {E.PASSAGES}),
+def collapsed_sql(chunks: str) -> str:
+    """SQL for docs(query_id, rank, doc_id): lexical hits over the given chunks, collapsed."""
+    return f"""{chunks}, {_bag('chunks', 'chunk_id')}, hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage) AS rank, passage AS chunk_id, score FROM scored QUALIFY rank <= {E.PASSAGES}),
 firsts AS (SELECT query_id, doc_id, min(rank) AS head FROM hits JOIN chunks USING (chunk_id) GROUP BY ALL),
 docs AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY head) AS rank, doc_id FROM firsts)"""
 
@@ -387,26 +397,28 @@ def _containing(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").join(F.broadcast(items), F.contains("text", "item")).select("query_id", "doc_id", F.lit(1).alias("grade"))
 
 
-@query(f"WITH {COLLAPSED} SELECT query_id, rank, doc_id FROM docs")
+@query(f"WITH {collapsed_sql(FIXED)} SELECT query_id, rank, doc_id FROM docs")
 def collapse_docs(spark, sf):
     hits = E.lexical(table(spark, sf, "documents"), _lexical_queries(spark, sf), f"fixed-{SIZE}-{OVERLAP}")
     return rank.collapse(hits).select("query_id", "rank", "doc_id")
 
 
-LEXICAL_METRICS = f"""{COLLAPSED}, j AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
+def experiment_sql(spec: str, chunks: str) -> str:
+    """SQL for one experiment row."""
+    return f"""WITH {collapsed_sql(chunks)}, j AS (SELECT item_id AS query_id, doc_id FROM benchmark JOIN documents ON contains(documents.text, benchmark.text)),
 h AS (SELECT query_id, rank FROM docs JOIN j USING (query_id, doc_id)), g AS (SELECT query_id, count(*) FILTER (rank <= 1) AS h1, count(*) FILTER (rank <= 5) AS h5, count(*) FILTER (rank <= 10) AS h10, min(rank) FILTER (rank <= 10) AS first, sum(1 / log2(rank + 1)) FILTER (rank <= 10) AS dcg FROM h GROUP BY query_id),
 n AS (SELECT query_id, count(*) AS n FROM j GROUP BY query_id), m AS (SELECT query_id, coalesce(h1 / n, 0.0) AS recall_1, coalesce(h5 / n, 0.0) AS recall_5, coalesce(h10 / n, 0.0) AS recall_10, coalesce(1.0 / first, 0.0) AS mrr, coalesce(dcg / list_sum(list_transform(range(1, least(n, 10) + 1), lambda r: 1 / log2(r + 1))), 0.0) AS ndcg FROM n LEFT JOIN g USING (query_id))
-SELECT 'fixed-{SIZE}-{OVERLAP}' AS chunker, (SELECT count(*) FROM chunks) AS n_chunks, round(avg(recall_1), 6) AS recall_1, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) AS n_queries FROM m"""
+SELECT '{spec}' AS chunker, (SELECT count(*) FROM chunks) AS n_chunks, round(avg(recall_1), 6) AS recall_1, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) AS n_queries FROM m"""
 
 
-@query(f"WITH {LEXICAL_METRICS}")
+@query(experiment_sql(f"fixed-{SIZE}-{OVERLAP}", FIXED))
 def experiment(spark, sf):
     return _rounded(E.experiment(table(spark, sf, "documents"), _lexical_queries(spark, sf), _containing(spark, sf), f"fixed-{SIZE}-{OVERLAP}"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT * FROM ({experiment_sql(spec, chunks)})" for spec, chunks in (("whole", WHOLE), ("fixed-200-40", fixed_sql(200, 40)), (f"fixed-{SIZE}-{OVERLAP}", FIXED))))
 def grid(spark, sf):
-    return _rounded(E.grid(table(spark, sf, "documents"), _lexical_queries(spark, sf), _containing(spark, sf), ["whole", f"fixed-{SIZE}-{OVERLAP}", f"sentence-{SIZE}-{OVERLAP}"]))
+    return _rounded(E.grid(table(spark, sf, "documents"), _lexical_queries(spark, sf), _containing(spark, sf), ["whole", "fixed-200-40", f"fixed-{SIZE}-{OVERLAP}"]))
 
 
 @query(
@@ -573,8 +585,8 @@ def loadtest(spark, sf):
 
 
 @query("WITH w AS (SELECT date_trunc('day', ts) AS d, row_number() OVER (PARTITION BY date_trunc('day', ts) ORDER BY ts, event_id) AS i FROM events), b AS (SELECT d, (i - 1) // 32 AS b, count(*) AS n FROM w GROUP BY ALL) SELECT CAST(sum(n) AS BIGINT) AS texts, count(*) AS batches, round(sum(n) / count(*), 2) AS mean_batch FROM b")
-def microbatch_mean(spark, sf):
-    return microbatch.mean_batch(microbatch.batches(table(spark, sf, "events"), window="1 day"))
+def microbatch(spark, sf):
+    return waiting.mean_batch(waiting.batches(table(spark, sf, "events"), window="1 day"))
 
 
 # ---- sources and stores ---------------------------------------------------------------------------------------------
