@@ -1,14 +1,15 @@
 """Line deduplication over content-defined chunks of lines.
 
-A line ends at a line feed; paragraphs are wrapped after punctuation and at spaces whose neighbouring letters hash to a multiple of WRAP, so that a
-passage inside a paragraph has lines too, of about four words. A rolling hash over the hashes of two neighbouring lines decides where chunks end: after a line where it is
+A line ends at a line feed; paragraphs are wrapped at spaces whose neighbouring letters
+hash to a multiple of WRAP, or of 2 after punctuation, so that a passage inside a paragraph has lines too, of about four words. A rolling hash over the hashes of two neighbouring lines decides where chunks end: after a line where it is
 smaller than at the lines before and after. The cut depends on four lines only, so an insertion moves no cut but those
 beside it. Paragraphs of PARAGRAPH words are also cut at their own ends. With DIVISIONS = 2 a second division, which cuts where
 the hash is greater than at both sides, catches more of the passages that are too short for a whole chunk, at twice the rows.
 
 1. One pass counts the hashes of all chunks of two lines and `least_words` words or more (one line, if it is a paragraph).
-2. The texts of chunks whose hash is repeated, and only those, are fetched and grouped by hash and bytes, so what is removed
-   has been compared byte for byte.
+2. A bit table of fixed size says which hashes may be repeated; a second pass emits the bytes of those chunks only, which are
+   grouped by hash and bytes: what is removed has been compared byte for byte. Where two hashes share a bit, a chunk is
+   emitted in vain, no more.
 3. All occurrences but the first, by id and place, go; so do the lines beside them, as far as they equal the lines beside the
    first, up to REACH on each side where no other repeated chunk follows: the ends of a passage that chunks don't meet.
 """
@@ -33,7 +34,9 @@ WRAP = 6
 DIVISIONS = 1
 REACH = 4
 #: Bytes, by estimate, of what may be broadcast to be joined to the documents; beyond it the join shuffles.
-BROADCAST_BYTES = 32_000_000
+BROADCAST_BYTES = 64_000_000
+#: Binary logarithm of the bits of the table of repeated hashes: 2**27 bits are 16 MB at any size of the corpus.
+TABLE = 27
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?,;:")] = True
 
@@ -63,10 +66,10 @@ def lines_of(texts: Texts) -> Lines:
     feed = data == 10
     brk = feed.copy()
     if n:
-        brk[1:] |= (data[1:] == 32) & _STOP[data[:-1]]
         gap = np.flatnonzero(data[2 : max(2, n - 2)] == 32) + 2
         near = sum(data[gap + at].astype(np.uint32) * np.uint32(k) for at, k in ((-2, 0x9E3779B1), (-1, 0x85EBCA6B), (1, 0xC2B2AE35), (2, 0x27D4EB2F)))
-        brk[gap[(near >> np.uint32(12)) % WRAP == 0]] = True
+        near = (near ^ (near >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
+        brk[gap[(near >> np.uint32(12)) % np.where(_STOP[data[gap - 1]], 2, WRAP) == 0]] = True
         final = texts.offsets[1:][texts.offsets[1:] > 0] - 1
         brk[final] = feed[final] = True
     stop = np.flatnonzero(brk) + 1
@@ -114,45 +117,54 @@ def chunks_of(lines: Lines, division: int, least_words: int = LEAST_WORDS) -> Ch
 
 
 def _listed(least_words: int):
-    """Chunks long enough: nth is twice the chunk's number in its text, plus its division."""
+    """The hashes of chunks long enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, texts in blocks(texts_of(batch.column("text"))):
+                lines = lines_of(texts)
+                for division in range(DIVISIONS):
+                    c = chunks_of(lines, division, least_words)
+                    yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.fit].view(np.int64))], ["hash"])
+
+    return run
+
+
+def _fetched(bits, least_words: int):
+    """The bytes of the chunks that may be repeated, with the line each begins at and the lines around it, nearest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, texts in blocks(texts_of(batch.column("text"))):
                 lines = lines_of(texts)
+                raw = texts.data.tobytes()
+                line = lambda n: raw[lines.start[n] : lines.end[n]]  # noqa: B023, E731
                 for division in range(DIVISIONS):
                     c = chunks_of(lines, division, least_words)
-                    some = np.flatnonzero(c.fit)
+                    at = c.hash >> U(64 - TABLE)
+                    maybe = c.fit & ((bits.value[at >> U(6)] >> (at & U(63))) & U(1)).astype(bool)
+                    some = np.flatnonzero(maybe)
                     text = np.searchsorted(c.first, some, "right") - 1
-                    nth = DIVISIONS * (some - c.first[text]) + division
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text)), pa.array(nth.astype(np.int32)), pa.array(c.hash[some].view(np.int64))], ["id", "nth", "hash"])
+                    body, before, after = [], [], []
+                    for n, d in zip(some.tolist(), text.tolist(), strict=True):
+                        low, high, a, b = int(lines.first[d]), int(lines.first[d + 1]), int(c.head[n]), int(c.head[n + 1])
+                        body.append(b"\n".join(line(x) for x in range(a, b)))
+                        # beside a repeated chunk there is nothing to reach for
+                        before.append([] if a > low and maybe[n - 1] else [line(x) for x in range(a - 1, max(low, a - REACH) - 1, -1)])
+                        after.append([] if b < high and maybe[n + 1] else [line(x) for x in range(b, min(high, b + REACH))])
+                    at, size = c.head[some] - lines.first[text], np.diff(c.head)[some]
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(c.hash[some].view(np.int64)), pa.array(body, pa.binary()), pa.array(before, pa.list_(pa.binary())), pa.array(after, pa.list_(pa.binary()))], ["id", "at", "size", "hash", "body", "before", "after"])
 
     return run
 
 
-def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the chunks nths of each text, with the line each begins at and the lines around it, nearest first."""
-    for batch in batches:
-        asked = batch.column("nths").to_pylist()
-        for i, j, texts in blocks(texts_of(batch.column("text"))):
-            lines = lines_of(texts)
-            division = [chunks_of(lines, n) for n in range(DIVISIONS)]
-            raw = texts.data.tobytes()
-            line = lambda n: raw[lines.start[n] : lines.end[n]]  # noqa: B023, E731
-            rows, at, size, hashes, body, before, after = [], [], [], [], [], [], []
-            for d in range(j - i):
-                low, high = int(lines.first[d]), int(lines.first[d + 1])
-                own = set(asked[i + d])
-                for k in asked[i + d]:
-                    c = division[k % DIVISIONS]
-                    n = int(c.first[d]) + k // DIVISIONS
-                    a, b = int(c.head[n]), int(c.head[n + 1])
-                    rows.append(d), at.append(a - low), size.append(b - a), hashes.append(c.hash[n].view(np.int64))
-                    body.append(b"\n".join(line(x) for x in range(a, b)))
-                    # beside a repeated chunk there is nothing to reach for
-                    before.append([] if k - DIVISIONS in own else [line(x) for x in range(a - 1, max(low, a - REACH) - 1, -1)])
-                    after.append([] if k + DIVISIONS in own else [line(x) for x in range(b, min(high, b + REACH))])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(rows, pa.int64())), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(hashes, pa.int64()), pa.array(body, pa.binary()), pa.array(before, pa.list_(pa.binary())), pa.array(after, pa.list_(pa.binary()))], ["id", "at", "size", "hash", "body", "before", "after"])
+def _table(repeated: DataFrame) -> np.ndarray:
+    """The bit table of hashes: at most 2**(TABLE - 6) words reach the driver, whatever the number of hashes."""
+    at = F.shiftrightunsigned("hash", 64 - TABLE)
+    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - TABLE}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (TABLE - 6), U)
+    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U)
+    return out
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,10 +195,10 @@ def _alike(a: str, b: str) -> Column:
     return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
 
 
-def _attached(rows: DataFrame, each: DataFrame, entries: str, how: str, width: int) -> DataFrame:
-    """Join each(of, entries), one row an id, to the documents by id: broadcast if it is small, else by a shuffle."""
-    size = each.agg(F.sum(F.size(entries) * width + 64)).first()[0] or 0
-    return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each, rows["id"] == each["of"], how).drop("of")
+def _attached(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """Join each(of, gone), one row an id, to the documents by id: broadcast if it is small, else by a shuffle."""
+    size = each.agg(F.sum(F.size("gone") * 24 + 48)).first()[0] or 0
+    return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each, rows["id"] == each["of"], "left").drop("of")
 
 
 def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -200,11 +212,11 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     rows = with_rest(docs, id_col, text_col)
     kind = T.StructField("id", rows.schema["id"].dataType)
     of = lambda *fields: T.StructType([kind, *(T.StructField(n, t) for n, t in fields)])
-    nth, key, number, lines = ("nth", T.IntegerType()), ("hash", T.LongType()), T.IntegerType(), T.ArrayType(T.BinaryType())
-    chunks = rows.filter("id is not null and text is not null").mapInArrow(_listed(least_words), of(nth, key))
-    repeated = chunks.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")
-    asked = cut(chunks.join(repeated, "hash", "left_semi").groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("nth")).alias("nths")))
-    fetched = cut(_attached(rows, asked, "nths", "inner", 8).mapInArrow(_fetched, of(("at", number), ("size", number), key, ("body", T.BinaryType()), ("before", lines), ("after", lines))))
+    key, number, lines = ("hash", T.LongType()), T.IntegerType(), T.ArrayType(T.BinaryType())
+    some = rows.filter("id is not null and text is not null")
+    hashes = some.select("text").mapInArrow(_listed(least_words), "hash long")
+    bits = docs.sparkSession.sparkContext.broadcast(_table(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")))
+    fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()), ("before", lines), ("after", lines))))
     firsts = fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at", F.col("before").alias("b"), F.col("after").alias("a"))).alias("f"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))
     reach = later.select("id", "at", "size", _alike("before", "f.b").alias("back"), _alike("after", "f.a").alias("on"))
@@ -212,7 +224,7 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     gone = cut(reach.select("id", gone.alias("g")).groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("g")).alias("gone")))
     rows = with_rest(docs, id_col, text_col, carry)
     out = of(("text", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()))
-    return _attached(rows, gone, "gone", "left", 32).mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))
+    return _attached(rows, gone).mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))
 
 
 def filter_lines(docs: DataFrame, *, least_kept: float = 0.2, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
