@@ -46,7 +46,7 @@ def read(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
 def encode(rows: DataFrame, file: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """files(path, content): the bytes of a vector file for each value of `file`, rows in the order of their ids.
 
-    Built from hex by native functions; choose `file` so that one file's rows fit a task.
+    Choose `file` so that one file's rows fit a task.
     """
     number = lambda x: F.array_join(F.reverse(F.regexp_extract_all(x, F.lit(".."), F.lit(0))), "")
     head = number(F.lpad(F.hex(F.size(vector_col)), 8, "0"))
