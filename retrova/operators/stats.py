@@ -11,7 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-RESAMPLES = 1_000
+#: As the reference has it, for signs and draws alike.
+RESAMPLES = 10_000
 #: Rounding slack when a resampled difference is compared with the observed one.
 SLACK = 1e-12
 
@@ -40,22 +41,30 @@ def _resamples(spark, number: int) -> DataFrame:
     return spark.range(number).withColumnRenamed("id", "r")
 
 
+def _spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows that resampling multiplies, dealt over all cores: adaptive execution sees few of them and would leave one task."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def randomization(pairs: DataFrame, resamples: int = RESAMPLES) -> DataFrame:
-    """(system, diff, p): two-sided, by flipping the signs of the differences. The pairs of a system are joined to `resamples` rows."""
+    """(system, diff, p): two-sided, by flipping the signs of the differences. A query's sign in a resample is drawn once for all systems."""
     r = _resamples(pairs.sparkSession, resamples)
     sign = 1 - 2 * (bits("r", "query_id") % 2)
-    flipped = pairs.crossJoin(F.broadcast(r)).groupBy("system", "r").agg(F.avg(F.col("diff") * sign).alias("m"))
+    queries = pairs.groupBy("query_id").agg(F.collect_list(F.struct("system", "diff")).alias("of"))
+    drawn = _spread(queries, "query_id").crossJoin(F.broadcast(r)).select("r", sign.alias("sign"), "of").select("r", "sign", F.inline("of"))
+    flipped = drawn.groupBy("system", "r").agg(F.avg(F.col("diff") * F.col("sign")).alias("m"))
     seen = pairs.groupBy("system").agg(F.avg("diff").alias("diff"))
     extreme = flipped.join(F.broadcast(seen), "system").groupBy("system", "diff").agg(F.count_if(F.abs("m") >= F.abs("diff") - SLACK).alias("extreme"))
     return extreme.select("system", "diff", ((F.col("extreme") + 1) / (resamples + 1)).alias("p"))
 
 
 def bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, level: float = 0.95) -> DataFrame:
-    """(system, low, high): percentile interval of the mean difference, queries drawn with replacement."""
+    """(system, low, high): percentile interval of the mean difference, queries drawn with replacement; one draw serves all systems of n queries."""
     order = Window.partitionBy("system").orderBy("query_id")
     numbered = pairs.select("system", "diff", (F.row_number().over(order) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("system")).alias("n"))
-    drawn = numbered.crossJoin(F.broadcast(_resamples(pairs.sparkSession, resamples))).select("system", "r", (bits("r", "i") % F.col("n")).alias("take"))
-    means = drawn.join(numbered.select("system", F.col("i").alias("take"), "diff"), ["system", "take"]).groupBy("system", "r").agg(F.avg("diff").alias("m"))
+    places = numbered.groupBy("n", "i").agg(F.collect_list(F.struct("system", "diff")).alias("of"))
+    drawn = _spread(places.select("n", "i"), "n", "i").crossJoin(F.broadcast(_resamples(pairs.sparkSession, resamples))).select("n", "r", (bits("r", "i") % F.col("n")).alias("i"))
+    means = drawn.join(places, ["n", "i"]).select("r", F.inline("of")).groupBy("system", "r").agg(F.avg("diff").alias("m"))
     tail = (1 - level) / 2
     return means.groupBy("system").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 

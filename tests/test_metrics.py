@@ -45,6 +45,14 @@ def test_holm_and_randomization(spark):
         stats.compare(scores, "none")
 
 
+def test_resamples_are_those_of_the_reference(spark):
+    import inspect
+
+    assert all(inspect.signature(f).parameters["resamples"].default == 10_000 for f in (stats.randomization, stats.bootstrap, stats.compare, stats.randomization_exact))
+    scores = rows(spark, [(s, str(q), v) for q in range(20) for s, v in (("base", 0.0), ("up", 1.0), ("down", -1.0))], "system string, query_id string, score double")
+    assert {r.system: round(r.p * 10_001) for r in stats.randomization(stats.paired(scores, "base")).collect()} == {"up": 1, "down": 1}
+
+
 def test_latest_and_selectors(spark):
     schema = "line_no long, model string, chunker string, index string, k_chunks int, query_prefix string, rerank string, rerank_depth int"
     log = rows(spark, [(1, "a/m", "whole", None, 10, None, None, None), (2, "a/m", "whole", "flat", 10, "", None, None), (3, "a/M2", "whole", "flat", 10, "", "x/CE", 50)], schema)
