@@ -37,3 +37,9 @@ def test_approximate_search_against_the_exact_one(spark):
     assert sweep["flat"].recall == 1 and sweep["hnsw-8-64-64"].recall >= 0.95 and sweep["hnsw-8-64-16"].scored < sweep["hnsw-8-64-64"].scored
     assert all(r.same for r in catalog.QUERIES["hnsw_persist"](spark, os.fspath(SF)).collect())
     assert [r.missed for r in catalog.QUERIES["embed_cache"](spark, os.fspath(SF)).orderBy("round").collect()][1] == 0
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the tables are not here")
+def test_recall_of_the_graph_over_all_rows(spark):
+    row = catalog.QUERIES["ann_recall"](spark, os.fspath(SF)).first()
+    assert row.wanted == 10 * catalog.asked(spark, os.fspath(SF)).count() and row.recall >= 0.9
