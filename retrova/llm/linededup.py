@@ -10,8 +10,9 @@ the hash is greater than at both sides, catches more of the passages that are to
 2. A bit table of fixed size says which hashes may be repeated; a second pass emits the bytes of those chunks only, which are
    grouped by hash and bytes: what is removed has been compared byte for byte. Where two hashes share a bit, a chunk is
    emitted in vain, no more.
-3. All occurrences but the first, by id and place, go; so do the lines beside them, as far as they equal the lines beside the
-   first, up to REACH on each side where no other repeated chunk follows: the ends of a passage that chunks don't meet.
+3. All occurrences but the first, by id and place, go; so do the lines beside them up to the first that differs from its
+   counterpart beside the first occurrence, or to the next chunk that goes: the ends of a passage that chunks don't meet. The
+   lines are fetched by place, REACH of them and in further rounds GROW times as many where all were equal.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,8 @@ LEAST_WORDS = 8
 PARAGRAPH = 20
 WRAP = 6
 DIVISIONS = 1
-REACH = 4
+#: Lines that are compared at first beside a chunk that goes, and by how much this number grows while all are equal.
+REACH, GROW = 8, 8
 #: Bytes, by estimate, of what may be broadcast to be joined to the documents; beyond it the join shuffles.
 BROADCAST_BYTES = 64_000_000
 #: Binary logarithm of the bits of the table of repeated hashes: 2**27 bits are 16 MB at any size of the corpus.
@@ -131,7 +133,7 @@ def _listed(least_words: int):
 
 
 def _fetched(bits, least_words: int):
-    """The bytes of the chunks that may be repeated, with the line each begins at and the lines around it, nearest first."""
+    """The bytes of the chunks that may be repeated, with the line each begins at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -145,19 +147,32 @@ def _fetched(bits, least_words: int):
                     maybe = c.fit & ((bits.value[at >> U(6)] >> (at & U(63))) & U(1)).astype(bool)
                     some = np.flatnonzero(maybe)
                     text = np.searchsorted(c.first, some, "right") - 1
-                    body, before, after = [], [], []
-                    for n, d in zip(some.tolist(), text.tolist(), strict=True):
-                        low, high, a, b = int(lines.first[d]), int(lines.first[d + 1]), int(c.head[n]), int(c.head[n + 1])
-                        body.append(b"\n".join(line(x) for x in range(a, b)))
-                        # beside a repeated chunk there is nothing to reach for
-                        before.append([] if a > low and maybe[n - 1] else [line(x) for x in range(a - 1, max(low, a - REACH) - 1, -1)])
-                        after.append([] if b < high and maybe[n + 1] else [line(x) for x in range(b, min(high, b + REACH))])
+                    body = []
+                    for n in some.tolist():
+                        body.append(b"\n".join(line(x) for x in range(int(c.head[n]), int(c.head[n + 1]))))
                     at, size = c.head[some] - lines.first[text], np.diff(c.head)[some]
-                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(c.hash[some].view(np.int64)), pa.array(body, pa.binary()), pa.array(before, pa.list_(pa.binary())), pa.array(after, pa.list_(pa.binary()))], ["id", "at", "size", "hash", "body", "before", "after"])
+                    yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text)), pa.array(at.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(c.hash[some].view(np.int64)), pa.array(body, pa.binary())], ["id", "at", "size", "hash", "body"])
 
     return run
 
 
+def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines that `asked` (place, step of -1 or 1, number) names, those nearest to the place first."""
+    for batch in batches:
+        asked = batch.column("asked").to_pylist()
+        for i, j, texts in blocks(texts_of(batch.column("text"))):
+            lines = lines_of(texts)
+            raw = texts.data.tobytes()
+            text, place, step, out = [], [], [], []
+            for d in range(j - i):
+                low, high = int(lines.first[d]), int(lines.first[d + 1])
+                for a in asked[i + d]:
+                    at = low + a["place"]
+                    some = range(at - 1, max(low, at - a["number"]) - 1, -1) if a["step"] < 0 else range(at, min(high, at + a["number"]))
+                    text.append(d), place.append(a["place"]), step.append(a["step"]), out.append([raw[lines.start[x] : lines.end[x]] for x in some])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text, pa.int64())), pa.array(place, pa.int32()), pa.array(step, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["of", "place", "step", "lines"])
+
+
 def _table(repeated: DataFrame) -> np.ndarray:
     """The bit table of hashes: at most 2**(TABLE - 6) words reach the driver, whatever the number of hashes."""
     at = F.shiftrightunsigned("hash", 64 - TABLE)
@@ -195,10 +210,41 @@ def _alike(a: str, b: str) -> Column:
     return F.when(other > 0, other - 1).otherwise(F.size(same)).cast("int")
 
 
-def _attached(rows: DataFrame, each: DataFrame) -> DataFrame:
-    """Join each(of, gone), one row an id, to the documents by id: broadcast if it is small, else by a shuffle."""
-    size = each.agg(F.sum(F.size("gone") * 24 + 48)).first()[0] or 0
-    return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each, rows["id"] == each["of"], "left").drop("of")
+def _attached(rows: DataFrame, each: DataFrame, entries: str = "gone", how: str = "left") -> DataFrame:
+    """Join each(of, entries), one row an id, to the documents by id: broadcast if it is small, else by a shuffle."""
+    size = each.agg(F.sum(F.size(entries) * 24 + 48)).first()[0] or 0
+    return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each, rows["id"] == each["of"], how).drop("of")
+
+
+def _ends(rows: DataFrame, later: DataFrame) -> Iterator[DataFrame]:
+    """The lines (id, from, number) beside the chunks later(id, at, size, fid, fat) that equal those beside (fid, fat).
+
+    A side ends where the next chunk that goes begins, so the sides of a document share no lines to compare.
+    """
+    order = Window.partitionBy("id").orderBy("at", "size")
+    room = later.withColumn("above", F.col("at") - F.lag(F.col("at") + F.col("size")).over(order)).withColumn("below", F.lead("at").over(order) - F.col("at") - F.col("size"))
+    side = lambda step, add, space: F.struct(F.lit(step).alias("step"), (F.col("at") + add).alias("place"), (F.col("fat") + add).alias("fplace"), F.col(space).alias("room"))
+    sides = room.select("id", "fid", F.inline(F.array(side(-1, F.lit(0), "above"), side(1, F.col("size"), "below"))))
+    sides = cut(sides.filter("room is null or room > 0"))
+    reach, kind = REACH, rows.schema["id"].dataType
+    fields = T.StructType([T.StructField("of", kind), T.StructField("place", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("lines", T.ArrayType(T.BinaryType()))])
+    while sides.take(1):
+        number = F.least(F.coalesce("room", F.lit(reach)), F.lit(reach)).alias("number")
+        asked = sides.select(F.col("id").alias("of"), "place", "step", number).unionByName(sides.select(F.col("fid").alias("of"), F.col("fplace").alias("place"), "step", number))
+        asked = asked.groupBy("of", "place", "step").agg(F.max("number").alias("number"))
+        asked = cut(asked.groupBy("of").agg(F.collect_list(F.struct("place", "step", "number")).alias("asked")))
+        # rows that share an id may differ: only what they agree on counts
+        found = _attached(rows, asked, "asked", "inner").mapInArrow(_beside, fields).groupBy("of", "place", "step").agg(F.min("lines").alias("lines"), F.max("lines").alias("most"))
+        found = cut(found.filter("lines = most").drop("most"))
+        own = found.select(F.col("of").alias("id"), "place", "step", F.col("lines").alias("a"))
+        first = found.select(F.col("of").alias("fid"), F.col("place").alias("fplace"), "step", F.col("lines").alias("b"))
+        both = sides.join(own, ["id", "place", "step"]).join(first, ["fid", "fplace", "step"])
+        same = F.least(_alike("a", "b"), number)
+        grown = cut(both.select("id", "fid", "step", "place", "fplace", "room", same.alias("same")).filter("same > 0"))
+        yield grown.select("id", F.when(F.col("step") > 0, F.col("place")).otherwise(F.col("place") - F.col("same")).alias("from"), F.col("same").alias("number"))
+        on = grown.filter((F.col("same") == reach) & (F.col("room").isNull() | (F.col("room") > reach)))
+        sides = on.select("id", "fid", "step", *((F.col(p) + F.col("step") * F.col("same")).alias(p) for p in ("place", "fplace")), (F.col("room") - reach).alias("room"))
+        reach *= GROW
 
 
 def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -212,16 +258,18 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     rows = with_rest(docs, id_col, text_col)
     kind = T.StructField("id", rows.schema["id"].dataType)
     of = lambda *fields: T.StructType([kind, *(T.StructField(n, t) for n, t in fields)])
-    key, number, lines = ("hash", T.LongType()), T.IntegerType(), T.ArrayType(T.BinaryType())
+    key, number = ("hash", T.LongType()), T.IntegerType()
     some = rows.filter("id is not null and text is not null")
     hashes = some.select("text").mapInArrow(_listed(least_words), "hash long")
     bits = docs.sparkSession.sparkContext.broadcast(_table(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")))
-    fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()), ("before", lines), ("after", lines))))
-    firsts = fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at", F.col("before").alias("b"), F.col("after").alias("a"))).alias("f"))
+    fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()))))
+    firsts = fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at")).alias("f"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))
-    reach = later.select("id", "at", "size", _alike("before", "f.b").alias("back"), _alike("after", "f.a").alias("on"))
-    gone = F.struct((F.col("at") - F.col("back")).alias("from"), (F.col("size") + F.col("back") + F.col("on")).alias("number"))
-    gone = cut(reach.select("id", gone.alias("g")).groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set("g")).alias("gone")))
+    later = cut(later.select("id", "at", "size", F.col("f.id").alias("fid"), F.col("f.at").alias("fat")))
+    gone = later.select("id", F.col("at").alias("from"), F.col("size").alias("number"))
+    for more in _ends(some, later):
+        gone = gone.unionByName(more)
+    gone = cut(gone.groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set(F.struct("from", "number"))).alias("gone")))
     rows = with_rest(docs, id_col, text_col, carry)
     out = of(("text", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()))
     return _attached(rows, gone).mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))

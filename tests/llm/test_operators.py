@@ -286,6 +286,20 @@ def test_lines_lose_repeated_passages_only(spark, rows):
     assert {line for r in kept for line in (r.text or "").split("\n") if r.n_removed == 0} <= every
 
 
+def _passage(seed, words, per_line=None):
+    rng = random.Random(seed)
+    w = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9))) for _ in range(words)]
+    return " ".join(w) if per_line is None else "\n".join(" ".join(w[n : n + per_line]) for n in range(0, words, per_line))
+
+
+def test_ends_of_passages_go_to_the_first_unequal_line(spark):
+    shared = "\n".join([_passage(1, 100, 1), _passage(2, 25), _passage(3, 100, 1)])
+    texts = [(n, f"{_passage(10 + n, 30)}\n{shared}\n{_passage(20 + n, 30)}") for n in range(3)]
+    out = {r.id: r.text.split("\n") for r in linededup.dedupe(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert "\n".join(out[0]) == texts[0][1]
+    assert all(out[n] == [_passage(10 + n, 30), _passage(20 + n, 30)] for n in (1, 2))
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.op6_rows(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
