@@ -300,6 +300,16 @@ def test_ends_of_passages_go_to_the_first_unequal_line(spark):
     assert all(out[n] == [_passage(10 + n, 30), _passage(20 + n, 30)] for n in (1, 2))
 
 
+def test_a_full_bit_table_changes_no_result(spark, monkeypatch):
+    shared = "\n".join([_passage(4, 12, 2), _passage(5, 25), _passage(6, 12, 2)])
+    texts = [(n, f"{_passage(30 + n, 80, 5)}\n{shared}\n{_passage(40 + n, 80, 5)}") for n in range(4)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = {(r.id, r.text) for r in linededup.dedupe(docs).collect()}
+    monkeypatch.setattr(linededup, "TABLE", 7)
+    assert {(r.id, r.text) for r in linededup.dedupe(docs).collect()} == want
+    assert all(t.split("\n") == _passage(30 + n, 80, 5).split("\n") + _passage(40 + n, 80, 5).split("\n") for n, t in want if n)
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.op6_rows(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
