@@ -15,8 +15,6 @@ from retrova.llm import decontam, langid, linededup, minhash, mixing
 from retrova.llm._spark import shared_folder, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-#: A document that keeps less than this share of its characters was a copy put together from earlier ones.
-LEAST_KEPT = 0.2
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -30,8 +28,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Remove repeated passages; documents that keep less than LEAST_KEPT of their characters go."""
-    return linededup.filter_lines(_own(docs), least_kept=LEAST_KEPT)
+    """Remove repeated passages; documents of which no word is left go."""
+    return linededup.filter_lines(_own(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -275,15 +275,15 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     return _attached(rows, gone).mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))
 
 
-def filter_lines(docs: DataFrame, *, least_kept: float = 0.2, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def filter_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The rows of docs, all columns, with what line deduplication leaves of their texts.
 
-    Documents that lost lines and keep less than `least_kept` of their characters go: what they held stands in earlier ones.
+    Documents that lost lines and keep no letter or digit go: what words they held stand in earlier ones.
     """
     carry = tuple(c for c in docs.columns if c != text_col)
     now = F.length("text")
-    out = dedupe(docs.withColumn("was", F.length(text_col)), carry=(*carry, "was"), id_col=id_col, text_col=text_col)
-    out = out.filter((F.col("n_removed") == 0) | (now >= least_kept * F.col("rest.was")))
+    out = dedupe(docs, carry=carry, id_col=id_col, text_col=text_col)
+    out = out.filter((F.col("n_removed") == 0) | F.rlike("text", F.lit(r"[\p{L}\p{N}]")))
     column = lambda c: F.col("text") if c == text_col else F.when(F.col("n_removed") > 0, now.cast("long")).otherwise(F.col(f"rest.`{c}`")) if c == chars_col else F.col(f"rest.`{c}`")
     return out.select(*(column(c).alias(c) for c in docs.columns))
 

@@ -310,6 +310,14 @@ def test_a_full_bit_table_changes_no_result(spark, monkeypatch):
     assert all(t.split("\n") == _passage(30 + n, 80, 5).split("\n") + _passage(40 + n, 80, 5).split("\n") for n, t in want if n)
 
 
+def test_documents_keep_their_own_words_beside_a_shared_passage(spark):
+    shared = _passage(7, 170)
+    texts = [(0, shared), (1, f"{_passage(50, 30)}\n{shared}"), (2, shared)]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in texts], "doc_id long, text string, n_chars long")
+    out = {r.doc_id: (r.text.strip(), r.n_chars) for r in linededup.filter_lines(docs).collect()}
+    assert set(out) == {0, 1} and out[0][0] == shared and out[1][0] == _passage(50, 30) and out[1][1] < 400
+
+
 def test_mix_comes_near_its_targets(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     out = mixing.op6_rows(docs).join(docs.select("doc_id", "source"), "doc_id").toPandas()
