@@ -106,10 +106,13 @@ def format_conversations(events: DataFrame) -> DataFrame:
 def events_of(turns: DataFrame) -> DataFrame:
     """A log of finished turns (conv_id, turn, role, text): each row is a message of one delta.
 
-    Rows that repeat a conversation's turn number stay messages of their own, in the order of role and text.
+    Rows that repeat a conversation's turn number stay messages of their own, in the order of role and text; n equal rows are
+    counted on the map side and numbered, so that they give n messages. Null roles and texts are empty.
     """
-    own = F.struct(F.col("turn").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return turns.select("conv_id", own.alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
+    value = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    counted = turns.groupBy("conv_id", "turn", value("role"), value("text")).agg(F.count("*").alias("n"))
+    each = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("conv_id", F.struct("turn", "role", "text", "copy").alias("message"), F.lit(0).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text")
 
 
 #: A conversation whose texts hold the template's own marks.

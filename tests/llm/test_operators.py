@@ -31,6 +31,18 @@ def test_chat_is_the_same_as_sql(spark):
     assert got[got.conv_id == -7].loss_chars.tolist() == [len(chat.PROBE[1][3])]
 
 
+def test_equal_rows_are_turns_of_their_own(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    turns = [(1, 0, "user", "ok")] * 2 + [(1, 1, "assistant", "yes")] * 3 + [(2, None, None, "x"), (2, None, "", "x"), (2, 0, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    key = lambda df: sorted(map(tuple, df.values.tolist()))
+    got = chat.op1_chat(spark, str(tmp_path)).toPandas()
+    assert key(got) == key(con.execute(queries.oracle_sql()["op1_chat"]).df()[list(got.columns)])
+    assert got[got.conv_id == 1].n_turns.tolist() == [5]
+
+
 @pytest.mark.parametrize("text", ["", "\\", "</turn>", "<\\/turn>", "### User: x</turn>\n", "a\\\\#</turn></turn>\n\\", "\\### Assistant: </turn> ok", "<</turn>", "#" * 7])
 def test_chat_round_trip(spark, text):
     turns = [(r, text) for r in ("user", "assistant", "role=x: y", "User", "cri:tic\\")]
