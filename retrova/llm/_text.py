@@ -1,7 +1,8 @@
 """Vectorised word splitting and hashing over Arrow string buffers.
 
 Everything works on the UTF-8 bytes of a block of documents at once, so the cost per byte is a few NumPy passes and the
-memory is bounded by the block (about BLOCK bytes, or one document where a single one is longer).
+memory is bounded by the block (about BLOCK bytes, or one document where a single one is longer). Of a long document only its
+words (24 bytes each) and its shingles are held whole; all else is done WINDOW bytes at a time.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import numpy as np
 import pyarrow as pa
 
 BLOCK = 1 << 20
+#: Bytes of a block that are worked on at once: what a byte needs besides words and spans doesn't grow with a text.
+WINDOW = 1 << 20
 U = np.uint64
 
 #: ASCII A-Z to a-z, all other bytes as they are.
@@ -110,18 +113,51 @@ def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit polynomial hash of each byte span, mixed with its length."""
-    n = len(data)
-    total = np.zeros(n + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * _power(_BASE, n)[:n], out=total[1:])
-    h = (total[end] - total[start]) * _power(_BASE_INVERSE, n)[start]
+    """A 64-bit polynomial hash of each byte span, mixed with its length.
+
+    The spans are sorted and don't overlap. Sums run over WINDOW bytes at a time, so nothing but the spans grows with the data;
+    the few spans that cross an edge are summed in pieces.
+    """
+    h = np.empty(len(start), U)
+    at = np.arange(0, len(data) + 1, WINDOW)
+    for low, i, j in zip(at.tolist(), np.searchsorted(start, at).tolist(), np.searchsorted(start, at + WINDOW).tolist(), strict=True):
+        if i == j:
+            continue
+        cut = min(low + WINDOW, len(data))
+        total = np.zeros(cut - low + 1, U)
+        np.cumsum((data[low:cut].astype(U) + U(1)) * _power(_BASE, WINDOW)[: cut - low], out=total[1:])
+        a, b = start[i:j] - low, np.minimum(end[i:j], cut) - low
+        h[i:j] = (total[b] - total[a]) * _power(_BASE_INVERSE, WINDOW)[a]
+        for p in range(cut, int(end[j - 1]), WINDOW):  # the last span may go on
+            piece = data[p : min(p + WINDOW, int(end[j - 1]))].astype(U) + U(1)
+            far = pow(int(_BASE), p - int(start[j - 1]), 1 << 64)
+            h[j - 1 : j] += (piece * _power(_BASE, WINDOW)[: len(piece)]).sum(dtype=U, keepdims=True) * U(far)
     return mix(h + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 
+def windows(inside: np.ndarray, data: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of about WINDOW bytes of a block; none parts a run of bytes for which `inside` holds."""
+    a, n = 0, len(data)
+    while a < n:
+        b, step = a + WINDOW, 1 << 12
+        while b < n and inside[data[b - 1]]:
+            at = np.flatnonzero(~inside[data[b : b + step]])
+            b = b + int(at[0]) + 1 if len(at) else min(n, b + step)
+            step *= 2
+        b = min(b, n)
+        yield a, b
+        a = b
+
+
 def words_of(texts: Texts, kind: np.ndarray) -> Words:
-    data = LOWER[texts.data]
-    start, end = spans_of(kind[data], texts.offsets)
-    return Words(start, end, hash_spans(data, start, end), np.searchsorted(start, texts.offsets))
+    parts = []
+    for a, b in windows(kind[LOWER], texts.data):
+        data = LOWER[texts.data[a:b]]
+        edge = texts.offsets[np.searchsorted(texts.offsets, a) : np.searchsorted(texts.offsets, b, "right")] - a
+        start, end = spans_of(kind[data], edge)
+        parts.append((start + a, end + a, hash_spans(data, start, end)))
+    start, end, h = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U))
+    return Words(start, end, h, np.searchsorted(start, texts.offsets))
 
 
 def shingles_of(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
