@@ -42,7 +42,18 @@ def in_block_pairs(grouped: DataFrame, payload: list[str], block: int, work: Cal
     dealt = grouped.join(sizes, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
     dealt = dealt.select("group", "id", "block", *payload, other).select("group", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "block", *payload)
-    return dealt.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _each_key(batches, work), schema)
+    return by_task(dealt, work, schema)
+
+
+def by_task(rows: DataFrame, work: Callable[[pa.Table], pa.RecordBatch], schema) -> DataFrame:
+    """Run work on the rows of each task (group, i, j); a worker holds the rows of one task at a time."""
+    return rows.repartition("group", "i", "j").sortWithinPartitions("group", "i", "j").mapInArrow(lambda batches: _each_key(batches, work), schema)
+
+
+def few(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """A table of small rows: written, and marked for broadcast if it has no more rows than these, else joined as any other."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def _each_key(batches: Iterator[pa.RecordBatch], work: Callable[[pa.Table], pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
