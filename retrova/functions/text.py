@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 #: Every code point that Unicode counts as white space for splitting (fixed values).
 SPACE = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
-#: White space after an end mark and before what may open a sentence.
-SENTENCE_GAP = rf"(?<=[.!?]){SPACE}+(?=[A-Z0-9\"'(\[])"
+#: Between two sentences stands white space after an end mark and before what may open the next (fixed values).
+SENTENCE_END, SENTENCE_START = r"(?<=[.!?])", r"(?=[A-Z0-9\"'(\[])"
+SENTENCE_GAP = f"{SENTENCE_END}{SPACE}+{SENTENCE_START}"
 
 
 def _col(x: Column | str) -> Column:

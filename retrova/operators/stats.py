@@ -1,13 +1,11 @@
 """Paired significance statistics over per-query scores.
 
 Resampling is a plan: the resamples are rows, signs and draws come from md5 of their numbers, so results are the same on
-every run and engine. `randomization_exact` draws as NumPy's PCG64 does, for parity with published p-values.
+every run and engine.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,19 +67,6 @@ def bootstrap(pairs: DataFrame, resamples: int = RESAMPLES, level: float = 0.95)
     return means.groupBy("system").agg(F.percentile("m", tail).alias("low"), F.percentile("m", 1 - tail).alias("high"))
 
 
-def randomization_exact(pairs: DataFrame, resamples: int = 10_000, seed: int = 0) -> DataFrame:
-    """As `randomization`, with the signs that NumPy's default generator draws; a system's queries meet in one task."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        diff = rows.sort_values("query_id")["diff"].to_numpy()
-        rng, seen, extreme, left = np.random.default_rng(seed), diff.mean(), 0, resamples
-        signs = rng.choice([-1.0, 1.0], size=(left, len(diff)))
-        extreme = int((np.abs((signs * diff).mean(axis=1)) >= abs(seen) - SLACK).sum())
-        return pd.DataFrame({"system": [rows["system"].iloc[0]], "diff": [seen], "p": [(extreme + 1) / (resamples + 1)]})
-
-    return pairs.groupBy("system").applyInPandas(run, "system string, diff double, p double")
-
-
 def holm(tests: DataFrame) -> DataFrame:
     """Add p_holm to (system, p): step-down adjusted for all tests at hand. As many rows as systems, so one window serves."""
     order = Window.orderBy("p", "system")

@@ -664,8 +664,8 @@ def embed_cache(spark, sf):
 @query()
 def hnsw_knn(spark, sf):
     """Approximate search over four shards; tests hold its recall against the exact answer."""
-    nodes, links = graphindex.build(table(spark, sf, "embeddings"), graphindex.Params(16, 100, 64), 4)
-    hits, _ = graphindex.search(nodes.cache(), links.cache(), asked(spark, sf), K, graphindex.Params(16, 100, 64))
+    graph = graphindex.build(table(spark, sf, "embeddings"), graphindex.Params(16, 100, 64), 4)
+    hits, _ = graphindex.search(graph, asked(spark, sf), K)
     return hits.withColumn("score", F.round("score", 5))
 
 
@@ -674,15 +674,33 @@ def hnsw_ef_sweep(spark, sf):
     return E.index_sweep(table(spark, sf, "embeddings"), asked(spark, sf), ["flat", "hnsw-8-64-16", "hnsw-8-64-64"], shards=2)
 
 
-@query()
+#: Every query of k hits gets its k hits again, with the same scores.
+SAME = f"SELECT CAST(vec_id AS BIGINT) AS query_id, CAST(r AS BIGINT) AS rank, true AS same FROM embeddings, range(1, {K + 1}) t(r) WHERE vec_id % 50 = 0"
+
+
+@query(SAME)
 def hnsw_persist(spark, sf):
-    """A graph written and read again gives the answers of the one that was built."""
-    folder, params = scratch(spark), graphindex.Params(8, 64, 32)
-    nodes, links = (x.cache() for x in graphindex.build(table(spark, sf, "embeddings"), params, 2))
-    graphindex.save(nodes, links, folder)
-    built, _ = graphindex.search(nodes, links, asked(spark, sf), K, params)
-    again, _ = graphindex.search(*graphindex.load(spark, folder), asked(spark, sf), K, params)
-    return built.join(again.select("query_id", "vec_id", F.lit(True).alias("same")), ["query_id", "vec_id"], "left").select("query_id", "rank", "vec_id", F.coalesce("same", F.lit(False)).alias("same"))
+    """A graph written and read again gives the answers of the one that was built, hit by hit."""
+    folder = scratch(spark)
+    graph = graphindex.build(table(spark, sf, "embeddings"), graphindex.Params(8, 64, 32), 2).cache()
+    graphindex.save(graph, folder)
+    built, _ = graphindex.search(graph, asked(spark, sf), K)
+    again, _ = graphindex.search(graphindex.load(spark, folder), asked(spark, sf), K)
+    again = again.withColumn("same", F.lit(True))
+    return built.join(again, built.columns, "left").select("query_id", "rank", F.coalesce("same", F.lit(False)).alias("same"))
+
+
+@query(SAME)
+def hnsw_grow(spark, sf):
+    """A graph of half of the rows that was written, read and then given the others answers as one that got both in turn."""
+    folder, rows = scratch(spark), table(spark, sf, "embeddings")
+    first, more = rows.filter("vec_id % 4 < 2"), rows.filter("vec_id % 4 >= 2")
+    half = graphindex.build(first, graphindex.Params(8, 64, 32), 2).cache()
+    graphindex.save(half, folder)
+    direct, _ = graphindex.search(graphindex.append(half, more, shards=2), asked(spark, sf), K)
+    stored, _ = graphindex.search(graphindex.append(graphindex.load(spark, folder), more, shards=2), asked(spark, sf), K)
+    stored = stored.withColumn("same", F.lit(True))
+    return direct.join(stored, direct.columns, "left").select("query_id", "rank", F.coalesce("same", F.lit(False)).alias("same"))
 
 
 @query()

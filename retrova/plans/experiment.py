@@ -49,7 +49,7 @@ def index_sweep(base: DataFrame, queries: DataFrame, specs: list[str], shards: i
     """(spec, found, wanted, recall, scored) of index specs; those that differ in the search beam only share one built graph."""
     truth = search.batched(queries, base, k).cache()
     n = base.count()
-    graphs: dict[str, tuple[DataFrame, DataFrame]] = {}
+    graphs: dict[str, DataFrame] = {}
     out = None
     for spec in specs:
         kind, params = graphindex.parse_index(spec)
@@ -60,8 +60,8 @@ def index_sweep(base: DataFrame, queries: DataFrame, specs: list[str], shards: i
         else:
             key = graphindex.graph_key(spec)
             if key not in graphs:
-                graphs[key] = tuple(x.cache() for x in graphindex.build(base, params, shards))
-            hits, scored = graphindex.search(*graphs[key], queries, k, params)
+                graphs[key] = graphindex.build(base, params, shards).cache()
+            hits, scored = graphindex.search(graphs[key], queries, k, params.search_beam)
             row = metrics.overlap(hits, truth).crossJoin(scored.agg(F.avg("scored").alias("scored")))
         row = row.select(F.lit(spec).alias("spec"), "found", "wanted", "recall", "scored")
         out = row if out is None else out.unionByName(row)
