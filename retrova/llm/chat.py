@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._fold import collected
 from ._spark import table
 
 END = "</turn>\n"
@@ -65,15 +66,16 @@ def loss_text(turns: Column, role: str = "assistant") -> Column:
 
 def loss_spans(formatted: Column, role: str = "assistant") -> Column:
     """Spans [start, end) of the formatted text, in code points, whose (escaped) text the loss covers."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
     mark = F.lit(f"### {ROLES.get(role, 'role=' + role)}: ")
 
-    def step(state: Column, turn: Column) -> Column:
-        start, end = state["at"] + F.length(mark), state["at"] + F.length(turn)
-        own = F.when(F.startswith(turn, mark), F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((end + len(END)).alias("at"), F.concat(state["spans"], own).alias("spans"))
+    def step(at: Column, turn: Column) -> Column:
+        end = at + F.length(turn)
+        own = F.array(F.struct((at + F.length(mark)).alias("start"), end.alias("end")))
+        none = F.array().cast("array<struct<start:int,end:int>>")
+        return F.struct((end + len(END)).alias("at"), F.when(F.startswith(turn, mark), own).otherwise(none).alias("out"))
 
-    return F.aggregate(F.filter(F.split(formatted, END, -1), lambda t: t != ""), begin, step, lambda s: s["spans"])
+    turns = F.filter(F.split(formatted, END, -1), lambda t: t != "")
+    return collected(turns, F.lit(0), step, "struct<start:int,end:int>")["out"]
 
 
 def fold(events: DataFrame) -> DataFrame:

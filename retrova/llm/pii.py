@@ -12,11 +12,13 @@ shuffled only if those documents don't fit a broadcast.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._fold import collected, let, running
 from ._spark import cut, table
 
 #: Kinds in the order in which spans are listed: the base forms, then removed and generalised terms.
@@ -35,23 +37,35 @@ TERM = r"\p{L}[\p{L}\p{N}]{3,}+"
 #: Characters on either side of an entity that count as its surroundings.
 AROUND = 60
 SUPPORT, BITS, REMOVE, GENERALISE = 3, 3.0, 0.5, 0.25
+#: Code points of a piece of a text.
+PIECE = 4096
 #: Characters of a table that may be broadcast.
 BROADCAST_CHARS = 8_000_000
 
 
-def _located(text: Column, form: str | Column, kind: str) -> Column:
-    """Matches of a form, leftmost and non-overlapping, as structs (kind, start, end, value); offsets in code points."""
-    between = F.split(text, form, -1)
-    value = F.regexp_extract_all(text, F.lit(form) if isinstance(form, str) else form, F.lit(0))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>").alias("found"))
+_SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
-    def step(state: Column, pair: Column) -> Column:
-        start = state["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["value"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value")))).alias("found"))
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(value)), value, lambda g, v: F.struct(g.alias("gap"), v.alias("value")))
-    return F.aggregate(pairs, begin, step, lambda s: s["found"])
+def _none() -> Column:
+    return F.array().cast(_SPANS)
+
+
+def _located(text: Column, form: str | Column, kind: str, fine: Callable[[Column], Column] | None = None) -> Column:
+    """Matches of a form, leftmost and non-overlapping, as structs (kind, start, end, value); offsets in code points.
+
+    Where `fine` is given, matches whose value fails it are dropped. Places are running sums over what stands between and in
+    all matches, so the work grows with the matches as they are.
+    """
+    form = F.lit(form) if isinstance(form, str) else form
+    gaps = F.transform(F.split(text, form, -1), F.length)
+
+    def spans(values: Column) -> Column:
+        ends = running(F.zip_with(F.slice(gaps, 1, F.size(values)), values, lambda gap, value: gap + F.length(value)))
+        span = lambda value, end: F.struct(F.lit(kind).alias("kind"), (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value"))
+        found = F.zip_with(values, ends, span)
+        return F.when(F.size(values) > 0, found if fine is None else F.filter(found, lambda m: fine(m["value"]))).otherwise(_none())
+
+    return let(F.regexp_extract_all(text, form, F.lit(0)), spans)
 
 
 def _digits(value: Column) -> Column:
@@ -80,12 +94,10 @@ def _holds(kind: str, value: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """The spans of the four base forms as structs (kind, start, end, value), by kind as listed and then start."""
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     each = []
     for kind, form in FORMS.items():
         maybe = F.contains(text, F.lit("@")) if kind == "email" else F.rlike(text, F.lit(MAYBE[kind]))
-        fine = partial(_holds, kind)
-        each.append(F.when(maybe, F.filter(_located(text, form, kind), lambda m: fine(m["value"]))).otherwise(none))  # noqa: B023
+        each.append(F.when(maybe, _located(text, form, kind, None if kind == "email" else partial(_holds, kind))).otherwise(_none()))
     return F.concat(*each)
 
 
@@ -94,10 +106,22 @@ def _entity(m: Column) -> Column:
     return F.concat_ws(":", m["kind"], F.when(m["kind"].isin("card", "phone"), _digits(m["value"])).otherwise(F.lower(m["value"])))
 
 
-def _near(text: Column, m: Column) -> Column:
+def _pieces(text: Column) -> Column:
+    """The text in pieces of PIECE code points: to cut a place out of a whole text, all that stands before is walked over."""
+    return F.split(text, rf"(?s)(?<=\G.{{{PIECE}}})")
+
+
+def _cutout(pieces: Column, start: Column, end: Column) -> Column:
+    i, j = (F.floor(x / PIECE).cast("int") for x in (start, end))
+    piece = lambda n: F.coalesce(F.get(pieces, n), F.lit(""))
+    across = F.concat(F.substring(piece(i), start - i * PIECE + 1, F.lit(PIECE)), F.array_join(F.slice(pieces, i + 2, F.greatest(j - i - 1, F.lit(0))), ""), F.substring(piece(j), 1, end - j * PIECE))
+    return F.when(i == j, F.substring(piece(i), start - i * PIECE + 1, end - start)).otherwise(across)
+
+
+def _near(pieces: Column, m: Column) -> Column:
     """Distinct terms around a span; words that the window cuts are left out."""
-    before = F.substring(text, F.greatest(m["start"] - AROUND, F.lit(0)) + 1, F.least(m["start"], F.lit(AROUND)))
-    after = F.substring(text, m["end"] + 1, F.lit(AROUND))
+    before = _cutout(pieces, F.greatest(m["start"] - AROUND, F.lit(0)), m["start"])
+    after = _cutout(pieces, m["end"], m["end"] + AROUND)
     before = F.when(m["start"] > AROUND, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before)
     after = F.when(F.length(after) == AROUND, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after)
     return F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", before, after)), F.lit(TERM), F.lit(0)))
@@ -110,11 +134,13 @@ def _fits(df: DataFrame, chars: Column) -> DataFrame:
 
 def disclosing_terms(docs: DataFrame, *, support: int = SUPPORT, bits: float = BITS, generalise: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """((id, terms) for the documents that hold disclosing terms, (term, disclosure, bits)) of docs(id, text)."""
-    hits = docs.select("id", "text", base_spans(F.col("text")).alias("found")).filter(F.size("found") > 0)
-    pairs = F.array_distinct(F.flatten(F.transform("found", lambda m: F.transform(_near(F.col("text"), m), lambda t: F.struct(_entity(m).alias("entity"), t.alias("term"))))))
+    hits = docs.select("id", "text", base_spans(F.col("text")).alias("found")).filter(F.size("found") > 0).select("found", _pieces(F.col("text")).alias("pieces"))
+    pair = lambda m: let(_entity(m), lambda e: F.transform(_near(F.col("pieces"), m), lambda t: F.concat_ws("\x01", e, t)))  # noqa: E731  strings are told apart by hashing, structs one by one
+    pairs = F.array_distinct(F.flatten(F.transform("found", pair)))
     seen = cut(hits.select(F.array_distinct(F.transform("found", _entity)).alias("entities"), pairs.alias("pairs")))
     entities = seen.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    tied = seen.select(F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    tied = seen.select(F.explode("pairs").alias("p")).groupBy("p").agg(F.count("*").alias("n_both")).filter(F.col("n_both") >= support)
+    tied = tied.select(F.substring_index("p", "\x01", 1).alias("entity"), F.substring_index("p", "\x01", -1).alias("term"), "n_both")
     tied = cut(tied.join(entities, "entity"))
     words = docs.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     number = F.lit(docs.count())
@@ -140,29 +166,28 @@ def sanitise(docs: DataFrame, *, support: int = SUPPORT, bits: float = BITS, rem
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     marked, _ = disclosing_terms(rows, support=support, bits=bits, generalise=generalise)
     marked = _fits(cut(marked), F.size("terms") * 24)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
     whole = rows.join(marked.withColumnRenamed("id", "of"), rows.id.eqNullSafe(F.col("of")), "left")
     terms = lambda f: F.transform(F.filter("terms", f), lambda t: t["term"])
     for kind, keep in (("term", lambda t: t["disclosure"] >= remove), ("hint", lambda t: t["disclosure"] < remove)):
         whole = whole.withColumn(kind, terms(keep))
     text = F.col("text")
-    added = [F.when(F.size(k) > 0, _located(text, _any_of(F.col(k)), k)).otherwise(none) for k in ("term", "hint")]
-    spans = F.coalesce(F.concat(base_spans(text), *added), none)
-    return whole.select("id", "text", spans.alias("spans")).select("id", "spans", _replaced(text, F.col("spans")).alias("sanitised"))
+    added = [F.when(F.size(k) > 0, _located(text, _any_of(F.col(k)), k)).otherwise(_none()) for k in ("term", "hint")]
+    spans = F.coalesce(F.concat(base_spans(text), *added), _none())
+    return whole.select("id", "text", spans.alias("spans")).withColumn("pieces", F.when(F.size("spans") > 0, _pieces(text))).select("id", "spans", _replaced(text, F.col("spans")).alias("sanitised"))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
-    """The text with its spans replaced; of overlapping ones the first to start, and among those the first listed."""
+    """The text (also in the column pieces) with its spans replaced; of overlapping ones the first to start, and among those the first listed."""
     order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.array_position(F.array(*map(F.lit, KINDS)), s["kind"]).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value"))))
     mask = lambda s: F.when(s["kind"] == "hint", F.concat(F.substring(s["value"], 1, 1), F.lit("."))).otherwise(F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">")))
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+    pieces = F.col("pieces")
 
-    def step(state: Column, s: Column) -> Column:
-        more = F.concat(state["parts"], F.array(F.substring(text, state["at"] + 1, s["start"] - state["at"]), mask(s)))
-        return F.when(s["start"] < state["at"], state).otherwise(F.struct(s["end"].alias("at"), more.alias("parts")))
+    def step(at: Column, s: Column) -> Column:
+        taken = F.array(_cutout(pieces, at, s["start"]), mask(s))
+        return F.when(s["start"] < at, F.struct(at.alias("at"), F.array().cast("array<string>").alias("out"))).otherwise(F.struct(s["end"].alias("at"), taken.alias("out")))
 
-    rest = lambda state: F.concat(F.array_join(state["parts"], ""), F.substring(text, state["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(order, begin, step, rest)).otherwise(text)
+    whole = let(collected(order, F.lit(0), step, "string"), lambda done: F.concat(F.array_join(done["out"], ""), _cutout(pieces, done["at"], F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from ._text import Texts, blocks, spans_of, texts_of
 #: Kinds in the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "entropy")
 BASE = {
-    "assign": re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""),
+    "assign": re.compile(rb"""(?i:password|passwd|secret|token|api_?key)["']?\x20*+[:=]\x20*+["']?([A-Za-z0-9+/_.=-]+)"""),
     "access": re.compile(rb"AKIA[A-Z0-9]+"),
 }
 LEAST = {"assign": 6, "access": 20, "hex": 24}
@@ -36,7 +37,7 @@ ALLOWED = (
     rb"(?i)\A[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}\Z",
     rb"\A[0-9T:+Z_-]+\Z",
     rb"(?i)example|placeholder|changeme|dummy|lorem",
-    rb"\A[A-Za-z]?[a-z]+(?:[/_=-]+[A-Za-z]?[a-z]+)*\Z",
+    rb"\A[A-Z]?[a-z]+(?:[/_=-]+[A-Z]?[a-z]+)*\Z",
     rb"\A[A-Z]+(?:[/_=-]+[A-Z]+)*\Z",
 )
 
@@ -90,13 +91,7 @@ class Scanner:
                     if len(part) >= self.window and kinds >= 2:
                         found += [(begin + a, begin + b) for a, b in windows_above(part, self.window, bits)]
                     begin = None
-        merged: list[tuple[int, int]] = []
-        for a, b in sorted(found):
-            if merged and a <= merged[-1][1]:
-                merged[-1] = (merged[-1][0], max(b, merged[-1][1]))
-            else:
-                merged.append((a, b))
-        return merged
+        return _merged(found)
 
     def scan(self, texts: Texts) -> dict[int, list[tuple[int, int, int]]]:
         """text -> (start, kind, end) in code points, sorted."""
@@ -114,12 +109,13 @@ class Scanner:
         a, b = spans_of(_HEX[data], edges)
         long = b - a >= LEAST["hex"]
         found += [(x, 2, y) for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True)]
-        base = sorted((x, y) for x, _, y in found)
+        base = _merged((x, y) for x, _, y in found)
         a, b = spans_of(_CANDIDATE[data], edges)
         long = b - a >= self.window
         for x, y in zip(a[long].tolist(), b[long].tolist(), strict=True):
             for s, e in self.entropy_spans(raw[x:y]):
-                if not _covered(base, x + s, x + e):
+                at = bisect_right(base, (x + s, len(data))) - 1
+                if at < 0 or base[at][1] < x + e:  # the base spans don't cover it together
                     found.append((x + s, 3, x + e))
         if not found:
             return {}
@@ -132,15 +128,15 @@ class Scanner:
         return out
 
 
-def _covered(base: list[tuple[int, int]], start: int, end: int) -> bool:
-    """Whether sorted spans cover [start, end) together."""
-    for a, b in base:
-        if a > start:
-            return False
-        start = max(start, b)
-        if start >= end:
-            return True
-    return False
+def _merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Sorted spans in place of those that overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def scan(docs: DataFrame, *, window: int = ENTROPY_WINDOW, thresholds: dict[str, float] | None = None, allowed=ALLOWED, redact: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

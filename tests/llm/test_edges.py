@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns: every operator defines a result."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,21 @@ def test_chat(spark):
     out = by_id(chat.format_conversations(events), "conv_id")
     assert out[1].formatted == "### role=: </turn>\n" and out[None].formatted == "### User: x</turn>\n"
     assert chat.format_conversations(events.limit(0)).count() == 0
+
+
+def test_secrets_of_slugs_and_lists(spark):
+    """What is long and regular takes time in proportion: slugs that end in a digit, lists of digests."""
+    slug, digests = "/".join(["ab"] * 60) + "7", "\n".join(f"{n:032x}" for n in range(100_000))
+    began = time.monotonic()
+    out = by_id(secrets.scan(spark.createDataFrame([(1, slug), (2, digests), (3, "secret" + " " * 100_000)], "doc_id long, text string")))
+    assert time.monotonic() - began < 60 and out[1].spans == [] == out[3].spans
+    assert [tuple(s) for s in out[2].spans if s.kind != "entropy"] == [("hex", 33 * n, 33 * n + 32) for n in range(100_000)]
+
+
+def test_pii_of_lists(spark):
+    ips, figures = " ".join(["10.20.30.40"] * 30_000), " ".join(["1234567"] * 100_000)
+    began = time.monotonic()
+    out = by_id(pii.sanitise(spark.createDataFrame([(1, ips), (2, figures)], "doc_id long, text string")))
+    assert time.monotonic() - began < 120
+    assert [tuple(s)[:3] for s in out[1].spans] == [("ip", 12 * n, 12 * n + 11) for n in range(30_000)]
+    assert out[1].sanitised == " ".join(["<IP>"] * 30_000) and out[2].sanitised == figures
