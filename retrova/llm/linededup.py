@@ -1,10 +1,12 @@
 """Line deduplication over content-defined chunks of lines.
 
-A line ends at a line feed; paragraphs are wrapped at spaces whose neighbouring letters
-hash to a multiple of WRAP, or of 2 after punctuation, so that a passage inside a paragraph has lines too, of about four words. A rolling hash over the hashes of two neighbouring lines decides where chunks end: after a line where it is
-smaller than at the lines before and after. The cut depends on four lines only, so an insertion moves no cut but those
-beside it. Paragraphs of PARAGRAPH words are also cut at their own ends. With DIVISIONS = 2 a second division, which cuts where
-the hash is greater than at both sides, catches more of the passages that are too short for a whole chunk, at twice the rows.
+A line ends at a line feed; paragraphs are wrapped at spaces whose neighbouring letters hash to a multiple of WRAP, or of 2
+after punctuation, so that a passage inside a paragraph has lines too, of about four words. Runs of UNSPACED bytes without a
+space (Chinese, Japanese, Thai) are wrapped between characters in the same way. A rolling hash over the hashes of two
+neighbouring lines decides where chunks end: after a line where it is smaller than at the lines before and after. The cut
+depends on four lines only, so an insertion moves no cut but those beside it. Paragraphs of PARAGRAPH words are also cut at
+their own ends. Where lines are so short that no chunk is long enough (lists, code), a second division counts, whose cuts are
+smaller than at RADIUS lines on either side.
 
 1. One pass counts the hashes of all chunks of two lines and `least_words` words or more (one line, if it is a paragraph).
 2. A bit table of fixed size says which hashes may be repeated; a second pass emits the bytes of those chunks only, which are
@@ -13,6 +15,7 @@ the hash is greater than at both sides, catches more of the passages that are to
 3. All occurrences but the first, by id and place, go; so do the lines beside them up to the first that differs from its
    counterpart beside the first occurrence, or to the next chunk that goes: the ends of a passage that chunks don't meet. The
    lines are fetched by place, REACH of them and in further rounds GROW times as many where all were equal.
+4. What goes in one run has LEAST_RUN words at least: phrases that merely recur stay.
 """
 
 from __future__ import annotations
@@ -32,13 +35,19 @@ from ._text import NOT_SPACE, Texts, U, blocks, hash_spans, mix, spans_of, texts
 LEAST_WORDS = 8
 PARAGRAPH = 20
 WRAP = 6
-DIVISIONS = 1
+#: Bytes of a run without a space from which it is wrapped, and one in how many of its characters ends a line.
+UNSPACED, WRAP_CHARS = 64, 12
+#: Lines on either side that a cut of the second division is compared with.
+RADIUS = 4
+#: Words of a run of lines that goes. Where spaces are rare, eight bytes count as a word.
+LEAST_RUN = 20
 #: Lines that are compared at first beside a chunk that goes, and by how much this number grows while all are equal.
 REACH, GROW = 8, 8
 #: Bytes, by estimate, of what may be broadcast to be joined to the documents; beyond it the join shuffles.
 BROADCAST_BYTES = 64_000_000
-#: Binary logarithm of the bits of the table of repeated hashes: 2**27 bits are 16 MB at any size of the corpus.
-TABLE = 27
+#: Binary logarithm of the most bits of the table of repeated hashes: 2**29 bits are 64 MB. It has 32 to 64 bits a hash, until
+#: 16 million hashes repeat; beyond that more chunks are emitted in vain.
+TABLE = 29
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?,;:")] = True
 
@@ -62,22 +71,30 @@ class Chunks(NamedTuple):
     fit: np.ndarray  # chunks long enough to be removed
 
 
+def _breaks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash of the two bytes before and after each place."""
+    near = sum(data[at + by].astype(np.uint32) * np.uint32(k) for by, k in ((-2, 0x9E3779B1), (-1, 0x85EBCA6B), (1, 0xC2B2AE35), (2, 0x27D4EB2F)))
+    return ((near ^ (near >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(12)
+
+
 def lines_of(texts: Texts) -> Lines:
     data, n = texts.data, len(texts.data)
     solid = NOT_SPACE[data]
     feed = data == 10
     brk = feed.copy()
+    word, stop = spans_of(solid, texts.offsets)
     if n:
         gap = np.flatnonzero(data[2 : max(2, n - 2)] == 32) + 2
-        near = sum(data[gap + at].astype(np.uint32) * np.uint32(k) for at, k in ((-2, 0x9E3779B1), (-1, 0x85EBCA6B), (1, 0xC2B2AE35), (2, 0x27D4EB2F)))
-        near = (near ^ (near >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-        brk[gap[(near >> np.uint32(12)) % np.where(_STOP[data[gap - 1]], 2, WRAP) == 0]] = True
+        brk[gap[_breaks(data, gap) % np.where(_STOP[data[gap - 1]], 2, WRAP) == 0]] = True
+        for a, b in zip(word[stop - word >= UNSPACED].tolist(), stop[stop - word >= UNSPACED].tolist(), strict=True):
+            char = np.flatnonzero((data[a + 3 : b - 3] & 0xC0) != 0x80) + a + 3  # characters that begin well inside
+            brk[char[_breaks(data, char) % WRAP_CHARS == 0] - 1] = True
         final = texts.offsets[1:][texts.offsets[1:] > 0] - 1
         brk[final] = feed[final] = True
-    stop = np.flatnonzero(brk) + 1
-    start = np.concatenate([[0], stop[:-1]]) if len(stop) else stop
-    last = np.maximum.accumulate(np.where(solid, np.arange(n), -1)) if n else np.zeros(0, np.int64)
-    end = last[stop - 1] + 1 if len(stop) else stop
+    edge = np.flatnonzero(brk) + 1
+    start = np.concatenate([[0], edge[:-1]]) if len(edge) else edge
+    last = np.searchsorted(word, edge) - 1  # a line ends with the last word that begins before its break
+    end = np.where(last >= 0, np.minimum(np.append(stop, 0)[last], edge), 0)
     full = end > start
     start, end = start[full], end[full]
     h = hash_spans(data, start, end)
@@ -85,8 +102,7 @@ def lines_of(texts: Texts) -> Lines:
     final = first[1:][first[1:] > first[:-1]] - 1
     roll = mix(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
     roll = np.append(roll, U(0)) if len(h) else h
-    word, _ = spans_of(solid, texts.offsets)
-    words = np.diff(np.searchsorted(word, np.append(start, n)))
+    words = np.maximum(np.diff(np.searchsorted(word, np.append(start, n))), (end - start) // 8)
     # paragraphs: runs of lines without a line feed between
     feeds = np.searchsorted(np.flatnonzero(feed), start)
     ends = np.append(feeds[1:] != feeds[:-1], True) if len(h) else np.zeros(0, bool)
@@ -101,23 +117,39 @@ def lines_of(texts: Texts) -> Lines:
     return Lines(start, end, first, h, roll, forced, words)
 
 
-def chunks_of(lines: Lines, division: int, least_words: int = LEAST_WORDS) -> Chunks:
-    roll = lines.roll if division == 0 else ~lines.roll
-    ends = lines.forced.copy()
-    if len(roll) > 2:
-        low = (roll[1:-1] < roll[:-2]) & (roll[1:-1] < roll[2:])
-        ends[1:-1] |= low & ~lines.forced[:-2] & ~lines.forced[2:]  # no chunk of one line beside a forced cut
+def _cut_at(ends: np.ndarray, lines: Lines, least_words: int) -> Chunks:
     head = np.concatenate([[0], np.flatnonzero(ends) + 1])
     size = np.diff(head)
     if not len(size):
         return Chunks(head, np.searchsorted(head[:-1], lines.first), lines.hash, np.zeros(0, bool))
-    place = np.arange(len(roll)) - np.repeat(head[:-1], size)
+    place = np.arange(len(ends)) - np.repeat(head[:-1], size)
     total = np.add.reduceat(mix(lines.hash ^ mix(place.astype(U) + U(1))), head[:-1])
     words = np.add.reduceat(lines.words, head[:-1])
     fit = (words >= least_words) & ((size > 1) | (words >= PARAGRAPH))
     return Chunks(head, np.searchsorted(head[:-1], lines.first), mix(total + size.astype(U)), fit)
 
 
+def divisions(lines: Lines, least_words: int = LEAST_WORDS) -> Iterator[Chunks]:
+    """The chunks of the lines, and those of the second division that hold no chunk that fits."""
+    roll, n = lines.roll, len(lines.roll)
+    ends = lines.forced.copy()
+    if n > 2:
+        low = (roll[1:-1] < roll[:-2]) & (roll[1:-1] < roll[2:])
+        ends[1:-1] |= low & ~lines.forced[:-2] & ~lines.forced[2:]  # no chunk of one line beside a forced cut
+    chunks = _cut_at(ends, lines, least_words)
+    yield chunks
+    covered = np.repeat(chunks.fit, np.diff(chunks.head)) if n else np.zeros(0, bool)
+    if n <= 2 * RADIUS or covered.all():
+        return
+    low = np.ones(n, bool)
+    for by in range(1, RADIUS + 1):
+        low[by:] &= (roll[by:] < roll[:-by]) & ~lines.forced[:-by]
+        low[:-by] &= (roll[:-by] < roll[by:]) & ~lines.forced[by:]  # so that no text's cuts depend on the next text
+    low[:RADIUS] = low[-RADIUS:] = False
+    wide = _cut_at(low | lines.forced, lines, least_words)
+    yield wide._replace(fit=wide.fit & ~np.maximum.reduceat(covered, wide.head[:-1]))
+
+
 def _listed(least_words: int):
     """The hashes of chunks long enough."""
 
@@ -125,8 +157,7 @@ def _listed(least_words: int):
         for batch in batches:
             for _, _, texts in blocks(texts_of(batch.column("text"))):
                 lines = lines_of(texts)
-                for division in range(DIVISIONS):
-                    c = chunks_of(lines, division, least_words)
+                for c in divisions(lines, least_words):
                     yield pa.RecordBatch.from_arrays([pa.array(c.hash[c.fit].view(np.int64))], ["hash"])
 
     return run
@@ -141,9 +172,8 @@ def _fetched(bits, least_words: int):
                 lines = lines_of(texts)
                 raw = texts.data.tobytes()
                 line = lambda n: raw[lines.start[n] : lines.end[n]]  # noqa: B023, E731
-                for division in range(DIVISIONS):
-                    c = chunks_of(lines, division, least_words)
-                    at = c.hash >> U(64 - TABLE)
+                for c in divisions(lines, least_words):
+                    at = c.hash >> U(64 - (len(bits.value).bit_length() + 5))
                     maybe = c.fit & ((bits.value[at >> U(6)] >> (at & U(63))) & U(1)).astype(bool)
                     some = np.flatnonzero(maybe)
                     text = np.searchsorted(c.first, some, "right") - 1
@@ -174,10 +204,11 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _table(repeated: DataFrame) -> np.ndarray:
-    """The bit table of hashes: at most 2**(TABLE - 6) words reach the driver, whatever the number of hashes."""
-    at = F.shiftrightunsigned("hash", 64 - TABLE)
-    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - TABLE}) & 63 as int))")).alias("bits")).toPandas()
-    out = np.zeros(1 << (TABLE - 6), U)
+    """The bit table of hashes, its size by their number: at most 2**(TABLE - 6) words reach the driver."""
+    size = min(TABLE, max(7, repeated.count().bit_length() + 5))
+    at = F.shiftrightunsigned("hash", 64 - size)
+    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - size}) & 63 as int))")).alias("bits")).toPandas()
+    out = np.zeros(1 << (size - 6), U)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U)
     return out
 
@@ -195,6 +226,8 @@ def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 drop = np.zeros(high - low, bool)
                 for g in gone[i + d] or ():
                     drop[g["from"] : g["from"] + g["number"]] = True
+                for a, b in zip(*(x.tolist() for x in spans_of(drop, np.array([0, len(drop)]))), strict=True):
+                    drop[a:b] = lines.words[low + a : low + b].sum() >= LEAST_RUN
                 if drop.any():
                     edge = np.append(lines.start[low:high], texts.offsets[d + 1])
                     edge[0] = texts.offsets[d]
@@ -261,9 +294,10 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     key, number = ("hash", T.LongType()), T.IntegerType()
     some = rows.filter("id is not null and text is not null")
     hashes = some.select("text").mapInArrow(_listed(least_words), "hash long")
-    bits = docs.sparkSession.sparkContext.broadcast(_table(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")))
+    bits = docs.sparkSession.sparkContext.broadcast(_table(cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))))
     fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()))))
-    firsts = fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at")).alias("f"))
+    # written, so that the join meets two shuffles as they are and a very common chunk can be split
+    firsts = cut(fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))
     later = cut(later.select("id", "at", "size", F.col("f.id").alias("fid"), F.col("f.at").alias("fat")))
     gone = later.select("id", F.col("at").alias("from"), F.col("size").alias("number"))

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retrova.llm import chat, decontam, langid, linededup, minhash, mixing, pii, queries, secrets, tokens, vecdedup
+from retrova.llm._text import Texts
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="the tables are not here")
@@ -304,6 +305,63 @@ def _passage(seed, words, per_line=None):
     return " ".join(w) if per_line is None else "\n".join(" ".join(w[n : n + per_line]) for n in range(0, words, per_line))
 
 
+def naive_lines(rows):
+    """Which lines go, by plain loops: id -> (lines, set of line numbers)."""
+    told, seen = {}, []
+    for d, text in sorted(rows):
+        texts = Texts(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))
+        lines = linededup.lines_of(texts)
+        raw = text.encode()
+        told[d] = [raw[a:b] for a, b in zip(lines.start, lines.end)], lines.words
+        for c in linededup.divisions(lines):
+            seen += [((d, int(c.head[n])), int(c.head[n + 1] - c.head[n])) for n in range(len(c.fit)) if c.fit[n]]
+    first, later = {}, []
+    for (d, at), size in sorted(seen):
+        key = tuple(told[d][0][at : at + size])
+        if first.setdefault(key, (d, at)) != (d, at):
+            later.append((d, at, size, *first[key]))
+    gone = {d: set() for d in told}
+    for d, at, size, _, _ in later:
+        gone[d] |= set(range(at, at + size))
+    taken = {d: set(x) for d, x in gone.items()}
+    for d, at, size, fd, fat in later:  # on either side to the first line that differs or goes with a chunk
+        for x, y, step in ((at - 1, fat - 1, -1), (at + size, fat + size, 1)):
+            while 0 <= x < len(told[d][0]) and 0 <= y < len(told[fd][0]) and x not in gone[d] and told[d][0][x] == told[fd][0][y]:
+                taken[d].add(x)
+                x, y = x + step, y + step
+    for d, x in taken.items():
+        for n in sorted(x):
+            if n - 1 not in x:
+                run = [n]
+                while run[-1] + 1 in x:
+                    run.append(run[-1] + 1)
+                if told[d][1][run].sum() < linededup.LEAST_RUN:
+                    taken[d] = taken[d] - set(run)
+    return {d: (len(told[d][0]), taken[d]) for d in told}
+
+
+def test_lines_against_plain_loops(spark, rows):
+    rng = random.Random(12)
+    shared = [_passage(70, 60), _passage(71, 90, 1), _passage(72, 40, 7), "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(300)), _passage(73, 9)]
+    mixed = [(10_000 + n, rng.choice(["\n", " "]).join(x for m in range(4) for x in (_passage(100 + 5 * n + m, rng.randint(5, 40)), rng.choice(shared)))) for n in range(60)]
+    texts = [*rows, *mixed]
+    want = naive_lines(texts)
+    out = {r.id: r for r in linededup.dedupe(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert {d: (r.n_lines, r.n_removed) for d, r in out.items()} == {d: (n, len(x)) for d, (n, x) in want.items()}
+    assert sum(len(x) for _, x in want.values()) > 500
+
+
+@pytest.mark.parametrize("kind", ["unspaced", "one word a line"])
+def test_passages_without_words_between_spaces_go(spark, kind):
+    rng = random.Random(13)
+    make = {"unspaced": lambda n: "".join(chr(rng.randint(0x4E00, 0x9000)) for _ in range(n)), "one word a line": lambda n: "\n" + _passage(rng.random(), n, 1) + "\n"}[kind]
+    shared = make(300)
+    texts = [(n, make(200) + shared + make(200)) for n in range(20)]
+    out = {r.id: r.text for r in linededup.dedupe(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert out[0] == texts[0][1]
+    assert np.mean([len(out[n]) < len(texts[n][1]) - 0.8 * len(shared) for n in range(1, 20)]) >= 0.95
+
+
 def test_ends_of_passages_go_to_the_first_unequal_line(spark):
     shared = "\n".join([_passage(1, 100, 1), _passage(2, 25), _passage(3, 100, 1)])
     texts = [(n, f"{_passage(10 + n, 30)}\n{shared}\n{_passage(20 + n, 30)}") for n in range(3)]
