@@ -21,10 +21,13 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster names for checkpoints; a temporary one only where none is set and all runs on this machine."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="retrova-checkpoint-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="retrova-checkpoint-"))
     return sc.getCheckpointDir()
 
 

@@ -113,6 +113,25 @@ def test_mixing(docs, none):
     assert mixing.mix(none, F.array("source"))[0].count() == 0
 
 
+def test_pipeline_stages(spark, docs, none):
+    """Nulls, empty and long texts, repeated rows, an id of two texts and other columns pass through every stage."""
+    import corpus_pipeline as P
+
+    more = [(7, f"one text of an id that two texts share and number {n} of them is quite unlike the other {n * 7919}", "en", "s1", 9, "x", "y", 1, 2) for n in (1, 2)]
+    rows = docs.unionByName(spark.createDataFrame(more, SCHEMA)).cache()
+    kept = {name: stage(spark, rows, "/root/testdata/sf0.001") for name, stage in P.STAGES}
+    texts = {name: sorted((r.doc_id or 0, r.text or "") for r in out.collect()) for name, out in kept.items() if name != "mix"}
+    assert all(kept[name].columns == list(P.COLUMNS) for name in texts)
+    every = sorted({(r[0] or 0, r[1] or "") for r in [*ROWS, *more]})
+    assert sorted(set(texts["near_duplicates"])) == every and len(texts["near_duplicates"]) == len(every)
+    assert sorted(set(texts["decontaminate"])) == every
+    assert [x for x in every if x[0] != 4] == sorted({x for x in texts["lines"] if x[0] != 4})  # 4 repeats itself
+    assert max(len(t) for d, t in texts["lines"] if d == 4) < len(LONG)
+    assert {d for d, _ in texts["language"]} == {0, 1, 4, 5, 7}
+    assert all(0 < r.taken <= 2 * r["size"] for r in kept["mix"].collect())
+    assert all(stage(spark, none, "/root/testdata/sf0.001").count() == 0 for _, stage in P.STAGES)
+
+
 def test_chat(spark):
     schema = "conv_id long, message long, seq long, kind string, role string, text string"
     events = spark.createDataFrame([(1, 0, 0, None, None, None), (None, 0, 0, "delta", "user", "x"), (1, 0, 0, None, None, None)], schema)
