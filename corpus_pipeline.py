@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from retrova.llm import decontam, langid, linededup, minhash, mixing
-from retrova.llm._spark import shared_folder, table
+from retrova.llm._spark import cut, shared_folder, table
+from retrova.llm.graph import few
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -33,10 +34,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: five-word shingles, similarity of 0.8 or more. Rows that share an id are one document."""
-    kept = minhash.near_duplicates(docs).filter("kept and doc_id is not null").select(F.col("doc_id").alias("of")).distinct()
+    """Keep one document of each group: five-word shingles, similarity of 0.8 or more.
+
+    Rows that share an id stay or go together; of those that stay, equal rows become one and no text is lost.
+    """
     rows = _own(docs)
-    return rows.join(kept, rows.doc_id == kept.of, "left_semi").dropDuplicates(["doc_id"]).unionByName(rows.filter("doc_id is null"))
+    kept = cut(minhash.near_duplicates(rows).filter("kept and doc_id is not null").select(F.col("doc_id").alias("of")).distinct())
+    again = few(rows.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select("doc_id"))
+    stay = rows.join(kept, rows.doc_id == kept.of, "left_semi")
+    several = stay.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return stay.join(again, "doc_id", "left_anti").unionByName(several).unionByName(rows.filter("doc_id is null")).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -41,9 +41,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A folder for files that a query writes and reads again: the shared one that the cluster names, or a temporary one."""
+    """A folder for files that a query writes and reads again: the shared one that the cluster names, or on one machine a temporary one."""
     sc = spark.sparkContext
-    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="retrova-")
+    shared = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not shared and sc.master != "local" and not sc.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    shared = shared or tempfile.mkdtemp(prefix="retrova-")
     return f"{shared}/{uuid.uuid4().hex}"
 
 

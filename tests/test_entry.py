@@ -4,14 +4,16 @@ import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parents[1]
 CHECK = """
 import importlib.abc, sys
 class Hide(importlib.abc.MetaPathFinder):
     def find_spec(self, name, path=None, target=None):
-        if name == "corpus_pipeline" or name.startswith("retrova.llm"):
-            raise ImportError(name)
-if sys.argv[1] == "hide":
+        if name in {"hide": ("corpus_pipeline", "retrova.llm"), "broken": ("retrova.llm.tokens",)}.get(sys.argv[1], ()):
+            raise ModuleNotFoundError(name, name=name)
+if sys.argv[1] != "show":
     sys.meta_path.insert(0, Hide())
 import __spark_entry__ as e
 q, o = e.queries(), e.oracle_sql()
@@ -28,6 +30,11 @@ def test_queries_with_and_without_the_subpackage():
     assert count("hide") >= 60 and count("show") >= count("hide")
 
 
+def test_a_broken_module_of_the_subpackage_is_told():
+    with pytest.raises(subprocess.CalledProcessError):
+        count("broken")
+
+
 def test_nothing_else_imports_the_subpackage():
     for path in (ROOT / "retrova").rglob("*.py"):
         if "llm" not in path.relative_to(ROOT).parts:
