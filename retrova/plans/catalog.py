@@ -200,19 +200,43 @@ def chunk_ids(spark, sf):
     return rows.groupBy("doc_id").agg(F.count("*").alias("n_chunks"), ids.alias("ids"))
 
 
-@query(f"""WITH RECURSIVE u AS (SELECT doc_id, {SENTENCES} AS u FROM documents),
+def packed_sql(units: str) -> str:
+    """SQL for chunks(doc_id, pos, chunk_id, text) that pack the units of u(doc_id, u: list of texts)."""
+    return f"""WITH RECURSIVE {units},
 p AS (SELECT doc_id, u, len(u) AS n, list_concat([0], list_transform(range(1, len(u) + 1), lambda i: list_sum(list_transform(u[1:i], lambda s: len(list_filter(regexp_split_to_array(s, '\\s+'), lambda x: x <> '')))))) AS p FROM u WHERE len(u) > 0),
 r AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS pos, CAST(0 AS BIGINT) AS s, list_min(list_filter(range(1, n + 1), lambda e: e = n OR p[e + 2] - p[1] > {SIZE})) AS e FROM p
   UNION ALL
   SELECT doc_id, pos + 1, s2, list_min(list_filter(range(e + 1, n + 1), lambda x: x = n OR p[x + 2] - p[s2 + 1] > {SIZE})) FROM (
     SELECT r.doc_id, r.pos, r.e, p.n, p.p, list_min(list_filter(range(r.s, r.e + 1), lambda j: p.p[r.e + 1] - p.p[j + 1] <= {OVERLAP})) AS s2 FROM r JOIN p USING (doc_id) WHERE r.e < p.n))
-SELECT doc_id, pos, doc_id || '#' || pos AS chunk_id, array_to_string(u[s + 1 : e], ' ') AS text FROM r JOIN p USING (doc_id)""")
+SELECT doc_id, pos, doc_id || '#' || pos AS chunk_id, array_to_string(u[s + 1 : e], ' ') AS text FROM r JOIN p USING (doc_id)"""
+
+
+@query(packed_sql(f"u AS (SELECT doc_id, {SENTENCES} AS u FROM documents)"))
 def chunk_sentence(spark, sf):
     return chunk.sentence(table(spark, sf, "documents"), SIZE, OVERLAP)
 
 
-@query()
+def _pieces_sql(name: str, of: str, pieces: str, level: int) -> str:
+    """SQL for name(doc_id, path, text, n): the pieces of those texts of `of` that have too many words."""
+    return f"""{name} AS (SELECT doc_id, list_append(path[1:{level}], i) AS path, x[i] AS text, len(list_filter(regexp_split_to_array(x[i], '\\s+'), lambda w: w <> '')) AS n
+  FROM (SELECT doc_id, path, x, unnest(range(1, len(x) + 1)) AS i FROM (SELECT doc_id, path, {pieces} AS x FROM {of} WHERE n > {SIZE})))"""
+
+
+ATOMS = ", ".join(
+    (
+        f"t0 AS (SELECT doc_id, CAST([] AS BIGINT[]) AS path, text, {SIZE + 1} AS n FROM documents)",
+        _pieces_sql("t1", "t0", r"regexp_split_to_array(text, '\n\s*\n')", 0),
+        _pieces_sql("t2", "t1", "string_split(text, chr(10))", 1),
+        _pieces_sql("t3", "t2", SENTENCES, 2),
+        _pieces_sql("t4", "t3", f"list_transform(range(0, CAST(ceil(n / {SIZE}.0) AS BIGINT)), lambda m: array_to_string({WORDS}[m * {SIZE} + 1 : m * {SIZE} + {SIZE}], ' '))", 3),
+        r"u AS (SELECT doc_id, list(regexp_replace(regexp_replace(text, '^\s+', ''), '\s+$', '') ORDER BY path) AS u FROM (FROM t1 UNION ALL FROM t2 UNION ALL FROM t3 UNION ALL FROM t4)"
+        f" WHERE n BETWEEN 1 AND {SIZE} GROUP BY doc_id)",
+    )
+)
+
+
+@query(packed_sql(ATOMS))
 def chunk_recursive(spark, sf):
     return chunk.recursive(table(spark, sf, "documents"), SIZE, OVERLAP)
 
@@ -655,7 +679,7 @@ def store_stats(spark, sf):
     return ingest.stats(*ingest.added(docs, *ingest.empty(spark), lambda rows: chunk.fixed(rows, SIZE, OVERLAP)))
 
 
-@query()
+@query('SELECT CAST(0 AS BIGINT) AS "round", count(DISTINCT text) AS missed FROM benchmark UNION ALL SELECT 1, 0')
 def embed_cache(spark, sf):
     """Embed the benchmark twice through one cache: the first round embeds its distinct texts, the second none."""
     items, folder = table(spark, sf, "benchmark"), scratch(spark)
@@ -706,23 +730,33 @@ def hnsw_grow(spark, sf):
     return direct.join(stored, direct.columns, "left").select("query_id", "rank", F.coalesce("same", F.lit(False)).alias("same"))
 
 
-@query()
+@query(f"WITH {KNN} SELECT 'flat' AS \"index\", (SELECT count(*) FROM u) AS n, count(*) AS found, count(*) AS wanted, CAST(1 AS DOUBLE) AS recall, CAST((SELECT count(*) FROM u) AS DOUBLE) AS scored FROM knn")
 def bench_row(spark, sf):
-    """A bench row of the batched search: its size, number of queries, and recall against the native plan."""
-    truth, found = search.exact(asked(spark, sf), table(spark, sf, "embeddings"), K), knn(spark, sf)
-    return metrics.overlap(found, truth).select(F.lit("flat").alias("index"), "found", "wanted", "recall")
+    """A bench row of the batched search: its size, recall against the native plan, and vectors compared a query."""
+    base = table(spark, sf, "embeddings")
+    truth, found, n = search.exact(asked(spark, sf), base, K), knn(spark, sf), base.count()
+    return metrics.overlap(found, truth).select(F.lit("flat").alias("index"), F.lit(n).cast("long").alias("n"), "found", "wanted", "recall", F.lit(float(n)).alias("scored"))
 
 
 @query()
+def bench_graph(spark, sf):
+    """The bench row of a graph index with its times: build, latency a query, queries a second."""
+    return E.benchmark(table(spark, sf, "embeddings"), asked(spark, sf), "hnsw-16-100-64", shards=2)
+
+
+@query(
+    f"WITH {RUNS}, k AS (SELECT *, row_number() OVER (w ORDER BY line_no DESC) AS n, min(line_no) OVER w AS first_seen FROM runs WINDOW w AS (PARTITION BY model, chunker, coalesce(\"index\", 'flat'), k_chunks, coalesce(rerank, ''), coalesce(rerank_depth, 0)))"
+    " SELECT row_number() OVER (ORDER BY score DESC, first_seen) AS place, '| ' || string_split(model, '/')[-1] || ' | ' || chunker || ' | ' || coalesce(\"index\", 'flat') || ' | ' || k_chunks || ' | ' || printf('%.4f', score) || ' | abc1234' || CASE WHEN line_no % 2 = 0 THEN '*' ELSE '' END || ' |' AS line FROM k WHERE n = 1"
+)
 def report_table(spark, sf):
     """The report's Markdown lines, best first."""
     rows = report.latest(runs(spark, sf), report.KEY).withColumn("commit", F.lit("abc1234")).withColumn("dirty", F.col("line_no") % 2 == 0)
     return report.markdown(rows, "score")
 
 
-@query()
+@query(f'WITH {RUNS} SELECT model, chunker, "index", CAST(k_chunks AS INTEGER) AS k_chunks, rerank, CAST(coalesce(rerank_depth, 0) AS INTEGER) AS rerank_depth FROM runs')
 def results_log(spark, sf):
     """Experiment rows appended as JSON lines and read with their line numbers."""
     folder = scratch(spark)
     report.append(runs(spark, sf).drop("line_no", "score"), folder)
-    return results.read(spark, folder).select("model", "chunker", "index", "k_chunks", "rerank", "rerank_depth")
+    return results.read(spark, folder).select("model", "chunker", "index", "k_chunks", "rerank", F.coalesce("rerank_depth", F.lit(0)).alias("rerank_depth"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,3 +68,25 @@ def index_sweep(base: DataFrame, queries: DataFrame, specs: list[str], shards: i
         row = row.select(F.lit(spec).alias("spec"), "found", "wanted", "recall", "scored")
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def benchmark(base: DataFrame, queries: DataFrame, spec: str, shards: int = 1, k: int = OVERLAP) -> DataFrame:
+    """One bench row (n, index, recall, scored, p50_ms, p99_ms, qps, build_s): the index is built and every query asked.
+
+    Latencies are those of the walk in the shard that takes longest; qps counts queries over the wall clock of the whole search.
+    """
+    kind, params = graphindex.parse_index(spec)
+    if kind != "hnsw":
+        raise ValueError(f"no graph index is called {spec!r}")
+    began = time.perf_counter()
+    graph = graphindex.build(base, params, shards).cache()
+    n = graph.count()
+    built = time.perf_counter() - began
+    hits, compared = (x.cache() for x in graphindex.search(graph, queries, k, params.search_beam))
+    began = time.perf_counter()
+    asked = compared.count()
+    took = time.perf_counter() - began
+    recall = metrics.overlap(hits, search.batched(queries, base, k)).select("recall")
+    times = compared.agg(F.avg("scored").alias("scored"), F.percentile("ms", 0.5).alias("p50_ms"), F.percentile("ms", 0.99).alias("p99_ms"))
+    fixed = {"n": F.lit(n).cast("long"), "index": F.lit(spec), "qps": F.lit(asked / took if took else 0.0), "build_s": F.lit(built)}
+    return recall.crossJoin(times).select(fixed["n"].alias("n"), fixed["index"].alias("index"), "recall", "scored", "p50_ms", "p99_ms", fixed["qps"].alias("qps"), fixed["build_s"].alias("build_s"))

@@ -3,6 +3,7 @@
 import os
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 from retrova.plans import catalog
@@ -21,7 +22,7 @@ def duck():
 
 def plain(df):
     names = sorted(df.columns)
-    text = lambda v: "null" if v is None or v != v else format(v, ".6f") if isinstance(v, float) else str(v)
+    text = lambda v: "null" if pd.isna(v) is True else format(v, ".6f") if isinstance(v, float) else str(v)
     return names, sorted(tuple(text(v) for v in row) for row in df[names].itertuples(index=False))
 
 
@@ -43,3 +44,9 @@ def test_approximate_search_against_the_exact_one(spark):
 def test_recall_of_the_graph_over_all_rows(spark):
     row = catalog.QUERIES["ann_recall"](spark, os.fspath(SF)).first()
     assert row.wanted == 10 * catalog.asked(spark, os.fspath(SF)).count() and row.recall >= 0.9
+
+
+@pytest.mark.skipif(not SF.exists(), reason="the tables are not here")
+def test_bench_row_of_the_graph(spark):
+    row = catalog.QUERIES["bench_graph"](spark, os.fspath(SF)).first()
+    assert row.n == 500 and row.recall >= 0.9 and 0 < row.scored <= 700 and 0 < row.p50_ms <= row.p99_ms and row.qps > 0 and row.build_s > 0
