@@ -7,8 +7,8 @@ positional bounds (the words the window needs before and after the shingle exist
 word on the bytes, over the item-sized window.
 
 Both passes are map-only over the documents. The index goes to the workers in blocks of at most `index_words` benchmark
-words; a larger benchmark is handled in several blocks, each one pass, whose hits are unioned. Only each document's own hits
-are ever grouped.
+words; a larger benchmark is handled block after block, each with passes of its own over what the one before has written, and
+the hits are unioned. Only each document's own hits are ever grouped.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import ship, table, with_rest
+from ._spark import cut, ship, table, with_rest
 from ._text import ALNUM, LOWER, Texts, U, Words, blocks, hash_spans, mix, spans_of, texts_of, words_of
 
 WINDOW = 10
 SHINGLE = 3
-#: Words of benchmark text that one block of the index holds at most; about 100 bytes a word in a worker.
-INDEX_WORDS = 1_000_000
+#: Words of benchmark text that one block of the index holds at most; about 460 bytes a word, measured, so some 115 MB.
+INDEX_WORDS = 250_000
 
 
 def item_words(text: str | None) -> list[bytes]:
@@ -207,15 +207,19 @@ def find(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, shingle
     rows = with_rest(docs, id_col, text_col, carry)
     kept = rows.schema.fields
     added = [T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))]
-    blocks_ = [Windows(b, window, shingle) for b in _benchmark_blocks(benchmark, item_col, item_text_col, index_words)]
-    for n, windows in enumerate(blocks_ or [Windows([], window, shingle)]):
-        rarity = {}
+    pending = _benchmark_blocks(benchmark, item_col, item_text_col, index_words)
+    block = next(pending, [])
+    while True:
+        after = next(pending, None)
+        windows, rarity = Windows(block, window, shingle), {}
         if windows.words:
             counted = texts.mapInArrow(_count_rarity(windows), "k int, shingle long, docs long").groupBy("k", "shingle").agg(F.sum("docs").alias("docs"))
             rarity = {(k, s): n for k, s, n in counted.collect()}  # at most the shingles of one block
-        last = n >= len(blocks_) - 1
+        last = after is None
         rows = rows.mapInArrow(_probe(windows, _prefixes(windows, rarity), last), T.StructType(kept[:1] + (kept[1:] if carry or not last else []) + added))
-    return rows
+        if last:
+            return rows
+        rows, block = cut(rows), after  # written, so that no task and no driver holds the windows of two blocks
 
 
 def filter_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

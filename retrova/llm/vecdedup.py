@@ -132,7 +132,7 @@ def _multiply(cosine: float, kind: np.dtype):
         a = np.concatenate([np.array([p for p, _ in tree], np.int64), some])
         b = pa.array([q for _, q in tree] + [None] * len(some), pa.int64())
         n = np.concatenate([np.zeros(len(tree), np.int64), count[some]])
-        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(b), pa.array(n)], pa.schema([("a", of), ("b", of), ("n", pa.int64())]))
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(a)), ids.take(b), pa.array(n)], schema=pa.schema([("a", of), ("b", of), ("n", pa.int64())]))
 
     return run
 
