@@ -247,13 +247,19 @@ def token_stats(spark, sf):
     return n.agg(F.round(F.avg("n"), 1).alias("tokens_mean"), F.max("n").alias("tokens_max"), F.round(F.avg((F.col("n") > 80).cast("double")), 4).alias("truncated_frac"))
 
 
-@query(f"""WITH RECURSIVE t AS (SELECT source AS lane, doc_id, CAST(len({WORDS}) AS BIGINT) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i FROM documents),
+#: Ids of one sender that share a lane.
+LANE = 100_000
+
+
+@query(f"""WITH RECURSIVE w AS (SELECT source || '/' || doc_id // {LANE} AS lane, doc_id, CAST(len({WORDS}) AS BIGINT) AS n FROM documents),
+t AS (SELECT *, row_number() OVER (PARTITION BY lane ORDER BY doc_id) AS i FROM w WHERE n <= {embed.TEXT_TOKENS}),
 r AS (SELECT lane, doc_id, n, i, CAST(0 AS BIGINT) AS request, CAST(1 AS BIGINT) AS texts, n AS total FROM t WHERE i = 1
   UNION ALL SELECT t.lane, t.doc_id, t.n, t.i, r.request + CASE WHEN b THEN 1 ELSE 0 END, CASE WHEN b THEN 1 ELSE r.texts + 1 END, CASE WHEN b THEN t.n ELSE r.total + t.n END
     FROM (SELECT t.*, r.request AS request0, r.texts = 32 OR r.total + t.n > 4000 AS b FROM t JOIN r ON t.lane = r.lane AND t.i = r.i + 1) t JOIN r ON t.lane = r.lane AND t.i = r.i + 1)
-SELECT lane, doc_id, n AS n_tokens, request FROM r""")
+SELECT lane, doc_id, n AS n_tokens, request FROM r UNION ALL SELECT lane, doc_id, n, NULL FROM w WHERE n > {embed.TEXT_TOKENS}""")
 def token_batches(spark, sf):
-    rows = table(spark, sf, "documents").select(F.col("source").alias("lane"), "doc_id", X.word_count("text").alias("n_tokens"))
+    lane = F.concat("source", F.lit("/"), F.floor(F.col("doc_id") / LANE).cast("string"))
+    rows = table(spark, sf, "documents").select(lane.alias("lane"), "doc_id", X.word_count("text").alias("n_tokens"))
     return embed.request_batches(rows, most_texts=32, most_tokens=4_000)
 
 
@@ -418,9 +424,8 @@ def _lexical_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _containing(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold an item's whole text are relevant to it (test judgments; items are few and broadcast)."""
-    items = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    return table(spark, sf, "documents").join(F.broadcast(items), F.contains("text", "item")).select("query_id", "doc_id", F.lit(1).alias("grade"))
+    """Documents that hold an item's whole text are relevant to it (test judgments)."""
+    return E.containing(table(spark, sf, "documents"), _lexical_queries(spark, sf))
 
 
 @query(f"WITH {collapsed_sql(FIXED)} SELECT query_id, rank, doc_id FROM docs")
@@ -470,6 +475,45 @@ def service_query(spark, sf):
     return rank.collapse(hits, 10).join(titles, "doc_id", "left").select("query_id", "rank", "doc_id", F.round("score", 4).alias("score"), F.coalesce("title", F.lit("")).alias("title"))
 
 
+@query(
+    f"WITH {UNIT}, s AS (SELECT q.vec_id AS query_id, b.vec_id, b.vec_id // 3 AS doc_id, list_dot_product(q.v, b.v) AS score FROM u q, u b WHERE q.vec_id % 50 = 0), h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s QUALIFY rank <= 100),"
+    " f AS (SELECT query_id, doc_id, min(rank) AS head FROM h GROUP BY ALL), r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY head) AS rank, doc_id FROM f)"
+    " SELECT query_id, '{\"query\":' || query_id || ',\"results\":[' || string_agg('{\"doc_id\":' || r.doc_id || ',\"title\":\"' || coalesce(source, '') || '\",\"score\":\"' || rank || '\"}', ',' ORDER BY rank) || ']}' AS body FROM r LEFT JOIN documents ON r.doc_id = documents.doc_id WHERE rank <= 10 GROUP BY query_id"
+)
+def service_json(spark, sf):
+    """The answers of service_query as JSON texts, with the rank in place of the score, so that two engines print the same."""
+    return rank.responses(service_query(spark, sf).withColumn("score", F.col("rank").cast("string")))
+
+
+@query(
+    f"WITH {_bag('documents', 'doc_id')}, hits AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage) AS rank, passage AS doc_id FROM scored QUALIFY rank <= 20),"
+    f" w AS (SELECT item_id AS query_id, {LOWER_WORDS} AS words FROM benchmark), x AS (SELECT query_id, rank, hits.doc_id, CASE WHEN rank <= 10 THEN len(list_filter(words, lambda q: list_contains({LOWER_WORDS}, q))) END AS new FROM hits JOIN documents USING (doc_id) JOIN w USING (query_id))"
+    " SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank <= 10 DESC, new DESC NULLS LAST, rank) AS place, doc_id FROM x"
+)
+def rerank_model(spark, sf):
+    """The head of each ranking in the order of a model that is sent question and passages."""
+    plain = F.array_join(X.words(F.lower("text")), " ")
+    asked_ = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), plain.alias("question"))
+    rows = _bag_hits(spark, sf, 20).join(table(spark, sf, "documents").select("doc_id", plain.alias("passage")), "doc_id").join(asked_, "query_id")
+    return rank.rerank_by(rows, rank.WordOverlap(), 10).select("query_id", "place", "doc_id")
+
+
+def _prepared(spark: SparkSession, sf: str) -> E.Prepared:
+    return E.prepare(table(spark, sf, "documents"), _lexical_queries(spark, sf), f"fixed-{SIZE}-{OVERLAP}", embed.HashedWords(), scratch(spark))
+
+
+@query()
+def experiment_dense(spark, sf):
+    """Experiment rows over embedded passages: exact search, a graph at two search beams, and a re-ranked head."""
+    prepared, judged, graphs = _prepared(spark, sf), _containing(spark, sf).cache(), {}
+    rows = [E.dense(prepared, judged, spec, shards=4, graphs=graphs)[0] for spec in ("flat", "hnsw-16-100-64", "hnsw-16-100-128")]
+    rows.append(E.dense(prepared, judged, "flat", reranker=rank.WordOverlap(), rerank_depth=10)[0])
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
+    return out
+
+
 # ---- answers --------------------------------------------------------------------------------------------------------
 
 ANSWERS = "a AS (SELECT conv_id * 1000 + turn AS question_id, conv_id, turn, text || ' Yes [2]. Also [1][2]. And [7].' AS text FROM conversations WHERE role = 'assistant'), src AS (SELECT a.question_id, c.turn + 1 AS n, c.conv_id || '#' || c.turn AS doc_id, c.role AS title, c.text FROM a JOIN conversations c ON a.conv_id = c.conv_id AND c.turn < a.turn)"
@@ -552,6 +596,23 @@ def compare(spark, sf):
     return _rounded(stats.compare(scores(spark, sf), BASE))
 
 
+COMPARED = f"""{SCORES}, named AS (SELECT system || ':whole:flat' AS system, query_id, score FROM scores WHERE system = '{BASE}' OR contains(system, 'c')),
+a AS (SELECT query_id, score AS a FROM named WHERE system = '{BASE}:whole:flat'), bs AS (SELECT system, query_id, score AS b FROM named WHERE system <> '{BASE}:whole:flat'),
+ok AS (SELECT system FROM bs LEFT JOIN a USING (query_id) GROUP BY system HAVING count(*) = (SELECT count(*) FROM a) AND count(a.a) = count(*)),
+pairs AS (SELECT system, query_id, a, b, b - a AS diff FROM bs JOIN a USING (query_id) WHERE system IN (SELECT system FROM ok))"""
+
+
+@query(
+    f"WITH {COMPARED}, {TESTS}, {HOLM}, {BOOT}, sm AS (SELECT system, avg(b) AS mean_b FROM pairs GROUP BY system) SELECT row_number() OVER (ORDER BY diff DESC, system) AS place,"
+    f" '| ' || system || ' | ' || printf('%.3f', mean_b) || ' | ' || printf('%+.3f', diff) || ' | [' || printf('%+.3f', low) || ', ' || printf('%+.3f', high) || '] | ' || printf('%.3f', p) || ' | ' || printf('%.3f', p_holm) || ' | ' || {VERDICT} || ' |' AS line FROM sm JOIN hm USING (system) JOIN boot USING (system)"
+)
+def compare_table(spark, sf):
+    """The comparison's Markdown lines: the systems that a selector fits against one baseline."""
+    none = {"rerank": "string", "rerank_depth": "int", "index": "string"}
+    log = scores(spark, sf).select(F.col("system").alias("model"), F.lit("whole").alias("chunker"), *(F.lit(None).cast(t).alias(c) for c, t in none.items()), "query_id", "score")
+    return report.compare_markdown(report.compared(log, f"{BASE}:whole", against="C"))
+
+
 # ---- the service's requests -----------------------------------------------------------------------------------------
 
 @query(
@@ -746,12 +807,31 @@ def bench_graph(spark, sf):
 
 @query(
     f"WITH {RUNS}, k AS (SELECT *, row_number() OVER (w ORDER BY line_no DESC) AS n, min(line_no) OVER w AS first_seen FROM runs WINDOW w AS (PARTITION BY model, chunker, coalesce(\"index\", 'flat'), k_chunks, coalesce(rerank, ''), coalesce(rerank_depth, 0)))"
-    " SELECT row_number() OVER (ORDER BY score DESC, first_seen) AS place, '| ' || string_split(model, '/')[-1] || ' | ' || chunker || ' | ' || coalesce(\"index\", 'flat') || ' | ' || k_chunks || ' | ' || printf('%.4f', score) || ' | abc1234' || CASE WHEN line_no % 2 = 0 THEN '*' ELSE '' END || ' |' AS line FROM k WHERE n = 1"
+    " SELECT row_number() OVER (ORDER BY score DESC, first_seen) AS place, '| ' || string_split(model, '/')[-1] || ' | ' || chunker || ' | ' || coalesce(\"index\", 'flat') || ' | ' || coalesce(string_split(rerank, '/')[-1] || '@' || rerank_depth, '-') || ' | ' || format('{:,}', line_no * 37) || ' | ' || printf('%.1f', 100 * (line_no % 1000 / 1000.0::DOUBLE)) || '% | '"
+    " || printf('%.3f', score / 7) || ' | ' || printf('%.3f', score / 11) || ' | ' || printf('%.3f', score / 13) || ' | ' || printf('%.3f', score / 17) || ' | ' || printf('%.3f', coalesce(score / 19, 1.0)) || ' | ' || printf('%.2f', score / 23) || ' | abc1234' || CASE WHEN line_no % 2 = 0 THEN '*' ELSE '' END || ' |' AS line FROM k WHERE n = 1"
 )
 def report_table(spark, sf):
     """The report's Markdown lines, best first."""
-    rows = report.latest(runs(spark, sf), report.KEY).withColumn("commit", F.lit("abc1234")).withColumn("dirty", F.col("line_no") % 2 == 0)
-    return report.markdown(rows, "score")
+    shares = {"recall_1": 7, "recall_10": 11, "mrr": 13, "ndcg": 17, "ann_recall": 19, "search_p50_ms": 23}
+    rows = report.latest(runs(spark, sf), report.KEY).select("*", *((F.col("score") / n).alias(c) for c, n in shares.items()), (F.col("line_no") * 37).alias("n_chunks"), (F.col("line_no") % 1000 / 1000).alias("truncated_frac"))
+    return report.markdown(rows.withColumn("commit", F.lit("abc1234")).withColumn("dirty", F.col("line_no") % 2 == 0), "score")
+
+
+@query(f"WITH {RUNS} SELECT line_no, model FROM runs WHERE contains(model, 'lic')")
+def report_model(spark, sf):
+    return runs(spark, sf).filter(report.of_model("lic")).select("line_no", "model")
+
+
+@query(f"WITH {RUNS} SELECT regexp_replace(i, '-\\d+-\\d+-\\d+$', '') AS kind, line_no AS n, round(score, 6) AS p50_ms FROM (SELECT *, coalesce(\"index\", 'flat') AS i FROM runs) WHERE i = 'flat' OR regexp_extract(i, '-(\\d+)$', 1) = '32'")
+def size_series(spark, sf):
+    """Latency against size: exact search, and graphs at one search beam."""
+    rows = runs(spark, sf).select(F.coalesce("index", F.lit("flat")).alias("index"), F.col("line_no").alias("n"), F.round("score", 6).alias("p50_ms"))
+    return report.by_size(rows, 32)
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS stamp FROM events")
+def stamps(spark, sf):
+    return table(spark, sf, "events").select("event_id", report.stamp("ts").alias("stamp"))
 
 
 @query(f'WITH {RUNS} SELECT model, chunker, "index", CAST(k_chunks AS INTEGER) AS k_chunks, rerank, CAST(coalesce(rerank_depth, 0) AS INTEGER) AS rerank_depth FROM runs')

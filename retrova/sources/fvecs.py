@@ -43,6 +43,11 @@ def read(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
     return decode(spark.read.format("binaryFile").load(path), most)
 
 
+def load_pair(spark: SparkSession, folder: str, name: str = "sift", most: tuple[int | None, int | None] = (None, None)) -> tuple[DataFrame, DataFrame]:
+    """(base, queries) of a data set's folder: name_base.fvecs and name_query.fvecs, the first `most` rows of each."""
+    return tuple(read(spark, f"{folder}/{name}_{part}.fvecs", n).select("vec_id", "embedding") for part, n in zip(("base", "query"), most, strict=True))
+
+
 def encode(rows: DataFrame, file: Column, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """files(path, content): the bytes of a vector file for each value of `file`, rows in the order of their ids.
 

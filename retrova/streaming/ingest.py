@@ -1,7 +1,9 @@
 """Incremental ingest into a passage store: new documents are chunked and numbered on from what is there.
 
-A store is a folder of versions, each with Parquet tables and a manifest written last; the newest version with a manifest is
-the store, so a crash leaves the one before. Readers hold a version; there is one writer.
+A store is a folder of versions, each with what it adds as Parquet tables and a manifest written last, which names the
+versions whose tables make up the store. The newest version with a manifest is the store, so a crash leaves the one before.
+Adding writes only what is new; after MOST_PARTS additions a version takes in those before it. Readers hold a version; there
+is one writer.
 """
 
 from __future__ import annotations
@@ -57,46 +59,108 @@ def _versions(spark: SparkSession, folder: str) -> list[int]:
     return sorted(int(n[1:]) for n in whole if n[:1] == "v" and n[1:].isdigit())
 
 
-def save(chunks: DataFrame, titles: DataFrame, folder: str, *, embedder: str, chunker: str) -> int:
-    """Write the next version; its manifest goes last."""
-    spark = chunks.sparkSession
-    version = (_versions(spark, folder) or [0])[-1] + 1
-    place = f"{folder}/v{version}"
+#: Versions that a store is read from at most, before one is written that holds them all.
+MOST_PARTS = 50
+#: Documents that `build` adds at a time.
+BUILD_BATCH = 256
+
+
+def _manifest(spark: SparkSession, place: str) -> dict:
+    """What a version's manifest says; ValueError if it can't be read."""
+    lines = [r.value for r in spark.read.text(f"{place}/manifest").collect()]
+    try:
+        facts = json.loads("".join(lines))
+        return {**facts, "parts": [int(n) for n in facts["parts"]], "chunks": int(facts["chunks"])}
+    except (ValueError, KeyError, TypeError) as error:
+        raise ValueError(f"the manifest in {place} is corrupt") from error
+
+
+def _written(chunks: DataFrame, titles: DataFrame, folder: str, version: int, before: dict, **names: str) -> int | None:
+    """Write a version's own tables, then its manifest. `before` has the parts and the passages that it goes on from.
+
+    A version that adds no title to those before gets no manifest and isn't there (None).
+    """
+    spark, place = chunks.sparkSession, f"{folder}/v{version}"
     chunks.write.mode("overwrite").parquet(f"{place}/chunks")
     titles.write.mode("overwrite").parquet(f"{place}/titles")
-    facts = {"embedder": embedder, "chunker": chunker, "chunks": spark.read.parquet(f"{place}/chunks").count()}
+    if before["parts"] and not spark.read.parquet(f"{place}/titles").take(1):
+        return None
+    own = spark.read.parquet(f"{place}/chunks").count()
+    facts = {**names, "parts": [*before["parts"], version], "chunks": before["chunks"] + own}
     spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{place}/manifest")
     return version
 
 
+def save(chunks: DataFrame, titles: DataFrame, folder: str, *, embedder: str, chunker: str) -> int | None:
+    """Write the next version, which holds these tables alone."""
+    version = (_versions(chunks.sparkSession, folder) or [0])[-1] + 1
+    return _written(chunks, titles, folder, version, {"parts": [], "chunks": 0}, embedder=embedder, chunker=chunker)
+
+
+def extend(new_chunks: DataFrame, new_titles: DataFrame, folder: str, *, embedder: str, chunker: str) -> int | None:
+    """Write the next version: the newest one and these rows, of which only the rows are written. None if there are none."""
+    spark = new_chunks.sparkSession
+    versions = _versions(spark, folder)
+    if not versions:
+        return save(new_chunks, new_titles, folder, embedder=embedder, chunker=chunker)
+    before = _manifest(spark, f"{folder}/v{versions[-1]}")
+    if len(before["parts"]) >= MOST_PARTS:
+        chunks, titles = load(spark, folder, embedder=embedder, chunker=chunker)
+        return save(chunks.unionByName(new_chunks), titles.unionByName(new_titles), folder, embedder=embedder, chunker=chunker)
+    return _written(new_chunks, new_titles, folder, versions[-1] + 1, before, embedder=embedder, chunker=chunker)
+
+
 def load(spark: SparkSession, folder: str, *, embedder: str, chunker: str) -> tuple[DataFrame, DataFrame]:
     """The newest complete version; ValueError if there is none, or it is corrupt or of another embedder or chunker."""
     versions = _versions(spark, folder)
     if not versions:
         raise ValueError(f"no complete store in {folder}")
     place = f"{folder}/v{versions[-1]}"
-    lines = [r.value for r in spark.read.text(f"{place}/manifest").collect()]
-    try:
-        facts = json.loads("".join(lines))
-    except ValueError as error:
-        raise ValueError(f"the manifest in {place} is corrupt") from error
+    facts = _manifest(spark, place)
     for name, own in (("embedder", embedder), ("chunker", chunker)):
         if facts.get(name) != own:
             raise ValueError(f"the store's {name} is {facts.get(name)!r}, not {own!r}")
-    chunks, titles = spark.read.parquet(f"{place}/chunks"), spark.read.parquet(f"{place}/titles")
+    chunks, titles = (spark.read.parquet(*(f"{folder}/v{n}/{table}" for n in facts["parts"])) for table in ("chunks", "titles"))
     if chunks.count() != facts["chunks"]:
         raise ValueError(f"{place} should hold {facts['chunks']} passages")
     return chunks, titles
 
 
+def add(docs: DataFrame, folder: str, chunker: Callable[[DataFrame], DataFrame], *, embedder: str, chunker_name: str, vectors: Callable[[DataFrame], DataFrame] | None = None) -> int | None:
+    """Add docs(seq, id, title, text) to a store. `vectors` adds columns to the new passages, such as their embedding.
+
+    The version, or None where no document was new: the store stays as it is.
+    """
+    spark = docs.sparkSession
+    names = {"embedder": embedder, "chunker": chunker_name}
+    chunks, titles = load(spark, folder, embedder=embedder, chunker=chunker_name) if _versions(spark, folder) else empty(spark)
+    new_chunks, new_titles = added(docs, chunks.select("vec_id", "chunk_id", "doc_id", "text"), titles, chunker)
+    return extend(vectors(new_chunks) if vectors else new_chunks, new_titles, folder, **names)
+
+
+def build(docs: DataFrame, folder: str, chunker: Callable[[DataFrame], DataFrame], *, embedder: str, chunker_name: str, vectors: Callable[[DataFrame], DataFrame] | None = None, batch: int = BUILD_BATCH, progress: Callable[[int, int], None] = lambda done, total: None) -> None:
+    """Add docs in batches of `batch` sequence numbers, as a service does while it tells how far it is.
+
+    Each batch is a version of its own, so a build that was lost goes on where it ended. For a whole corpus take one `add`.
+    """
+    low, high, total = docs.agg(F.min("seq"), F.max("seq"), F.count("*")).first()
+    done = 0
+    progress(done, total)
+    for start in range(low, high + 1, batch) if total else ():
+        part = docs.filter(F.col("seq").between(start, start + batch - 1))
+        add(part, folder, chunker, embedder=embedder, chunker_name=chunker_name, vectors=vectors)
+        done += part.count()
+        progress(done, total)
+
+
 def ingest_stream(stream: DataFrame, folder: str, chunker: Callable[[DataFrame], DataFrame], *, embedder: str, chunker_name: str, checkpoint: str):
-    """Add a stream of docs(seq, id, title, text) to a store, a version a micro-batch, until what is available is used up."""
+    """Add a stream of docs(seq, id, title, text) to a store, a version a micro-batch, until what is available is used up.
+
+    A micro-batch that is run again finds its documents known and adds nothing.
+    """
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        chunks, titles = load(spark, folder, embedder=embedder, chunker=chunker_name) if _versions(spark, folder) else empty(spark)
-        new_chunks, new_titles = added(batch, chunks, titles, chunker)
-        save(chunks.unionByName(new_chunks), titles.unionByName(new_titles), folder, embedder=embedder, chunker=chunker_name)
+        add(batch, folder, chunker, embedder=embedder, chunker_name=chunker_name)
 
     query = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retrova.functions import requests as R
-from retrova.operators import answer, chunk, embed
+from retrova.operators import answer, chunk, embed, models, rank
 from retrova.sources import beir, fvecs, results
 from retrova.streaming import bucket, ingest, microbatch
 
@@ -70,7 +70,7 @@ def test_embedding_cache(spark, tmp_path):
     with pytest.raises(ValueError):
         embed.embed_cached(docs, embed.BagOfWords(["apple"]), str(tmp_path))
     with pytest.raises(ValueError):
-        embed.make_model("absent")
+        models.make_model("absent")
 
 
 def test_data_set_files(spark, tmp_path):
@@ -124,3 +124,76 @@ def test_micro_batches(spark):
     events = spark.range(70).select(F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 40)).alias("ts"))
     assert sorted(r.n for r in microbatch.batches(events).collect()) == [8, 30, 32]
     assert tuple(microbatch.mean_batch(microbatch.batches(events)).first()) == (70, 3, 23.33)
+
+
+def test_store_grows_by_what_is_new(spark, tmp_path, monkeypatch):
+    cut, folder = (lambda rows: chunk.fixed(rows, 2, 0)), str(tmp_path / "s")
+    names, schema = {"embedder": "e", "chunker_name": "c"}, "seq long, id string, title string, text string"
+    docs = spark.createDataFrame([(n, f"d{n}", "", f"a b c{n}") for n in range(7)], schema)
+    model, told = embed.HashedWords(8), []
+    ingest.build(docs, folder, cut, vectors=lambda rows: embed.embed(rows, model), batch=3, progress=lambda *x: told.append(x), **names)
+    assert told == [(0, 7), (3, 7), (6, 7), (7, 7)]
+    chunks, titles = ingest.load(spark, folder, embedder="e", chunker="c")
+    rows = chunks.orderBy("vec_id").collect()
+    assert [r.vec_id for r in rows] == list(range(14)) and titles.count() == 7
+    assert rows[3].vector == model.embed([rows[3].text])[0].tolist()
+    assert spark.read.parquet(f"{folder}/v3/chunks").count() == 2  # only its own
+    assert ingest.add(docs, folder, cut, **names) is None and ingest.load(spark, folder, embedder="e", chunker="c")[0].count() == 14
+    monkeypatch.setattr(ingest, "MOST_PARTS", 3)
+    more = spark.createDataFrame([(0, "x", "t", "y")], schema)
+    ingest.add(more, folder, cut, vectors=lambda rows: embed.embed(rows, model), **names)
+    assert spark.read.parquet(f"{folder}/v4/chunks").count() == 15
+    assert ingest.load(spark, folder, embedder="e", chunker="c")[0].count() == 15
+    ingest.build(docs.limit(0), str(tmp_path / "none"), cut, **names)
+
+
+def test_hosted_models(spark):
+    class Backwards:
+        """A hosted client that answers in reverse order and notes the size of its requests."""
+
+        sizes: list = []
+
+        def embeddings(self, model, texts):
+            self.sizes.append(len(texts))
+            return [(n, [float(len(t))] * 1_536) for n, t in reversed(list(enumerate(texts)))]
+
+        def complete(self, model, system, user):
+            return f" {system}:{user} "
+
+    hosted = models.HostedEmbedder(client=Backwards, count=lambda texts: [len(t) for t in texts])
+    assert hosted.embed(["a", "bbb", "cc"])[:, 0].tolist() == [1, 3, 2] and Backwards.sizes == [3]
+    hosted.embed(["x" * 8_000] * 40)
+    assert Backwards.sizes[1:] == [31, 9] and hosted.embed([]).shape == (0, 1_536)
+    with pytest.raises(ValueError):
+        hosted.embed(["x" * 9_000])
+    with pytest.raises(ValueError):
+        models.HostedEmbedder("absent", client=Backwards)
+    prompts = spark.createDataFrame([("q",), (None,)], "prompt string")
+    got = answer.answer(prompts, models.HostedAnswerer("m", "s", client=Backwards)).collect()
+    assert sorted(r.answer for r in got) == [answer.NO_SOURCES, "s:q"]
+
+
+@pytest.mark.parametrize("name", ["minilm", "openai-small"])
+def test_models_without_their_library_say_so(name, monkeypatch):
+    monkeypatch.setattr(models.importlib.util, "find_spec", lambda _: None)
+    with pytest.raises(RuntimeError, match="isn't installed"):
+        models.make_model(name)
+
+
+def test_rerank_by_a_model(spark):
+    rows = [(1, 1, "a", "x"), (1, 2, "b", "red car"), (1, 3, "c", None), (1, 4, "d", "red car too"), (2, 1, "e", "red"), (2, 2, "f", "blue sky")]
+    hits = spark.createDataFrame([(q, r, d, 1.0 / r, {1: "red car", 2: "blue"}[q], p) for q, r, d, p in rows], "query_id long, rank long, doc_id string, score double, question string, passage string")
+    got = rank.rerank_by(hits, rank.WordOverlap(), 3).orderBy("query_id", "place").collect()
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == [(1, "b", 2.0), (1, "a", 0.0), (1, "c", 0.0), (1, "d", 0.25), (2, "f", 1.0), (2, "e", 0.0)]
+
+
+def test_base_and_query_vectors(spark, tmp_path):
+    for name, n in (("sift_base", 5), ("sift_query", 2)):
+        (tmp_path / f"{name}.fvecs").write_bytes(b"".join(np.int32(2).tobytes() + np.array([n, i], "<f4").tobytes() for i in range(n)))
+    base, queries = fvecs.load_pair(spark, str(tmp_path), most=(4, None))
+    assert [r.embedding for r in base.orderBy("vec_id").collect()] == [[5.0, float(i)] for i in range(4)] and queries.count() == 2
+
+
+def test_over_limit_texts_have_no_request(spark):
+    rows = spark.createDataFrame([("l", n, t) for n, t in enumerate([3, 9_000, 2, None])], "lane string, doc_id long, n_tokens long")
+    assert [r.request for r in embed.request_batches(rows, most_tokens=4).orderBy("doc_id").collect()] == [0, None, 1, None]
