@@ -5,7 +5,7 @@ patterns to the sources' quotas; the n-th time that a pattern's words are used c
 before it deepens. The network has a node a pattern and source and is solved on the driver; the corpus only sees one
 aggregate a pattern. Documents are then selected in the order of a seeded hash: its first digits are refined level by level,
 256 bins a pattern each time, until the bin where a pattern's quota ends holds next to nothing. No document list is sorted,
-ranked or collected.
+ranked or collected; the driver gets one row a pattern, no bins.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections import deque
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -107,31 +107,26 @@ def measured(docs: DataFrame, sources, *, seed: int = SEED, id_col: str = "doc_i
     return cut(docs.select(F.col(id_col).alias("id"), pattern.alias("pattern"), size.alias("size"), digits.alias("digits")))
 
 
-def _refine(rows: DataFrame, rest: dict[str, int]) -> tuple[dict[str, str], dict[str, int]]:
-    """Where a pattern's documents, in the order of their digits, fill rest[pattern]: all up to bound fit, and what is left.
+def _refine(rows: DataFrame, rest: DataFrame) -> DataFrame:
+    """(pattern, bound, rest): up to where a pattern's documents, in the order of their digits, fill rest(pattern, rest), and what is left.
 
-    Level by level the bin that would overflow is opened; at the last level it stays closed.
+    Level by level the bin that would overflow is opened; at the last level it stays closed. All of it is a plan: at most 256
+    bins a pattern meet in a window, and the driver sees none of them.
     """
-    spark = rows.sparkSession
-    bound, rest = {p: "" for p in rest}, dict(rest)
-    full: dict[str, bool] = {p: not n for p, n in rest.items()}
+    state = cut(rest.select("pattern", F.lit("").alias("bound"), "rest", (F.col("rest") > 0).alias("open")))
     for level in range(1, LEVELS + 1):
-        at = [(p, b) for p, b in bound.items() if not full[p]]
-        if not at:
-            break
-        inside = rows.join(_small(spark.createDataFrame(at, "pattern string, bound string")), "pattern").filter(F.substring("digits", 1, 2 * level - 2) == F.col("bound"))
-        bins: dict[str, list] = {}
-        for p, d, size in inside.groupBy("pattern", F.substring("digits", 1, 2 * level).alias("bin")).agg(F.sum("size")).collect():  # 256 a pattern
-            bins.setdefault(p, []).append((d, size))
-        for p, _ in at:
-            for d, size in sorted(bins.get(p, [])):
-                bound[p] = d
-                if size > rest[p]:
-                    break
-                rest[p] -= size
-            else:  # all of it fits
-                bound[p], full[p] = bound[p].ljust(2 * LEVELS, "f"), True
-    return {p: b if full[p] else b[:-1] + chr(ord(b[-1]) - 1) + "~" if b else "" for p, b in bound.items()}, rest
+        inside = rows.join(_small(state.filter("open")), "pattern").filter(F.substring("digits", 1, 2 * level - 2) == F.col("bound"))
+        bins = inside.groupBy("pattern", "rest", F.substring("digits", 1, 2 * level).alias("bin")).agg(F.sum("size").alias("size"))
+        total = F.sum("size").over(Window.partitionBy("pattern").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
+        over = F.min(F.when(F.col("total") > F.col("rest"), F.struct("bin", (F.col("total") - F.col("size")).alias("before"))))
+        found = bins.withColumn("total", total).groupBy("pattern").agg(over.alias("over"), F.sum("size").alias("all"))
+        both, spills = state.join(_small(found), "pattern", "left"), F.col("over").isNotNull()
+        bound = F.when(~F.col("open"), F.col("bound")).when(spills, F.col("over.bin")).otherwise(F.rpad("bound", 2 * LEVELS, "f"))
+        used = F.when(~F.col("open"), 0).when(spills, F.col("over.before")).otherwise(F.coalesce("all", F.lit(0)))
+        state = cut(both.select("pattern", bound.alias("bound"), (F.col("rest") - used).alias("rest"), (F.col("open") & spills).alias("open")))
+    n = 2 * LEVELS
+    below = F.concat(F.substring("bound", 1, n - 1), F.char(F.ascii(F.substring("bound", n, 1)) - 1), F.lit("~"))
+    return state.select("pattern", F.when(F.col("open"), below).otherwise(F.col("bound")).alias("bound"), "rest")
 
 
 def select(rows: DataFrame, wanted: dict[str, int], mass: dict[str, int]) -> DataFrame:
@@ -140,14 +135,14 @@ def select(rows: DataFrame, wanted: dict[str, int], mass: dict[str, int]) -> Dat
     Every document is taken wanted // mass times; of the rest, documents are taken once more in the order of their digits up
     to the first that doesn't fit, and then, in the same order, those of at most an eighth of the gap that this leaves.
     """
-    spark = rows.sparkSession
-    bound, gap = _refine(rows, {p: w % mass[p] if mass[p] else 0 for p, w in wanted.items()})
-    small = {p: max(1, n // 8) if n else 0 for p, n in gap.items()}
-    first = spark.createDataFrame([(p, bound[p], small[p]) for p in wanted], "pattern string, first string, small long")
-    others = rows.join(_small(first), "pattern").filter("digits > first and size <= small and size > 0").select("pattern", "size", "digits")
-    filled, _ = _refine(others, gap)
-    plan = [(p, w // mass[p] if mass[p] else 0, bound[p], small[p], filled[p]) for p, w in wanted.items()]
-    plan = spark.createDataFrame(plan, "pattern string, whole long, first string, small long, filled string")
+    plan = [(p, w // mass[p] if mass[p] else 0, w % mass[p] if mass[p] else 0) for p, w in wanted.items()]
+    plan = rows.sparkSession.createDataFrame(plan, "pattern string, whole long, rest long")
+    gap = F.col("rest")
+    small = F.when(gap > 0, F.greatest(F.lit(1), F.floor(gap / 8))).otherwise(0).cast("long")
+    first = _refine(rows, plan.select("pattern", "rest")).select("pattern", F.col("bound").alias("first"), small.alias("small"), "rest")
+    others = rows.join(_small(first.drop("rest")), "pattern").filter("digits > first and size <= small and size > 0").select("pattern", "size", "digits")
+    filled = _refine(others, first.select("pattern", "rest")).select("pattern", F.col("bound").alias("filled"))
+    plan = plan.drop("rest").join(first.drop("rest"), "pattern").join(filled, "pattern")
     more = (F.col("digits") <= F.col("first")) | ((F.col("size") <= F.col("small")) & (F.col("digits") <= F.col("filled")))
     times = F.coalesce(F.col("whole"), F.lit(0)) + F.when(more, 1).otherwise(0)
     return rows.join(_small(plan), "pattern", "left").select("id", "pattern", "size", (F.col("size") * times).cast("long").alias("taken"))

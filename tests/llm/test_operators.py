@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy, over small whole tables."""
 
 import hashlib
+import itertools
 import random
 import re
 from collections import Counter
@@ -408,6 +409,63 @@ def test_targets_and_flow():
     assert sum(mixing.route({("a",): 10}, {"a": 500})[("a",)].values()) == 20
 
 
+def _optimum(mass, quota, repeats):
+    """(most words, least cost at that) over all flows of a small network; the n-th use of a pattern's words costs n."""
+    arcs = [(p, s) for p in mass for s in p if s in quota]
+    cost = lambda p, n: sum(min(max(n - u * mass[p], 0), mass[p]) * (u + 1) for u in range(repeats))
+    best = (0, 0)
+    for flow in itertools.product(*(range(min(repeats * mass[p], quota[s]) + 1) for p, s in arcs)):
+        used, got = dict.fromkeys(mass, 0), dict.fromkeys(quota, 0)
+        for (p, s), n in zip(arcs, flow, strict=True):
+            used[p] += n
+            got[s] += n
+        if all(used[p] <= repeats * mass[p] for p in mass) and all(got[s] <= quota[s] for s in quota):
+            best = max(best, (sum(flow), -sum(cost(p, n) for p, n in used.items())))
+    return best[0], -best[1]
+
+
+def test_flow_against_all_flows():
+    draw = random.Random(5)
+    for _ in range(60):
+        patterns = draw.sample([("a",), ("b",), ("c",), ("a", "b"), ("b", "c"), ("a", "b", "c")], draw.randint(1, 3))
+        mass, quota = {p: draw.randint(0, 3) for p in patterns}, {s: draw.randint(0, 6) for s in "abc"}
+        flow = mixing.route(mass, quota, 2)
+        used = {p: sum(f.values()) for p, f in flow.items()}
+        got = {s: sum(f.get(s, 0) for f in flow.values()) for s in quota}
+        assert all(n >= 0 for f in flow.values() for n in f.values()) and all(used[p] <= 2 * mass[p] for p in mass) and all(got[s] <= quota[s] for s in quota)
+        cost = sum(min(n, mass[p]) + 2 * max(n - mass[p], 0) for p, n in used.items())
+        assert (sum(used.values()), cost) == _optimum(mass, quota, 2)
+
+
+def _selected(rows, wanted):
+    """How often each of rows(id, size, digits) is taken, by a walk over one sorted list."""
+    mass, order = sum(n for _, n, _ in rows), sorted(rows, key=lambda r: r[2])
+    times, rest = dict.fromkeys((r[0] for r in rows), wanted // mass if mass else 0), wanted % mass if mass else 0
+    at = 0
+    while rest and at < len(order) and order[at][1] <= rest:
+        times[order[at][0]] += 1
+        rest -= order[at][1]
+        at += 1
+    small = max(1, rest // 8) if rest else 0
+    for own, n, _ in order[at:]:
+        if rest and 0 < n <= small:
+            if n > rest:
+                break
+            times[own] += 1
+            rest -= n
+    return times
+
+
+def test_selection_against_one_sorted_list(spark):
+    draw = random.Random(6)
+    rows = [(n, f'["{"xyz"[n % 3]}"]', draw.choice([0, 1, 2, 9, 40, 300]), f"{draw.getrandbits(24):06x}") for n in range(600)]
+    mass = {p: sum(r[2] for r in rows if r[1] == p) for p in {r[1] for r in rows}}
+    wanted = {'["x"]': mass['["x"]'] // 3, '["y"]': mass['["y"]'] + 777, '["z"]': 2 * mass['["z"]']}
+    got = mixing.select(spark.createDataFrame(rows, "id long, pattern string, size long, digits string"), wanted, mass)
+    times = {k: v for p in mass for k, v in _selected([(i, n, d) for i, q, n, d in rows if q == p], wanted[p]).items()}
+    assert {r.id: r.taken for r in got.collect()} == {i: n * times[i] for i, _, n, _ in rows}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
 
