@@ -16,6 +16,8 @@ import pyarrow as pa
 BLOCK = 1 << 20
 #: Bytes of a block that are worked on at once: what a byte needs besides words and spans doesn't grow with a text.
 WINDOW = 1 << 20
+#: Bytes that are hashed at once: their sums stay in a core's cache, and take a few megabytes a worker.
+HASHED = 1 << 17
 U = np.uint64
 
 #: ASCII A-Z to a-z, all other bytes as they are.
@@ -115,23 +117,23 @@ def spans_of(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 def hash_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each byte span, mixed with its length.
 
-    The spans are sorted and don't overlap. Sums run over WINDOW bytes at a time, so nothing but the spans grows with the data;
+    The spans are sorted and don't overlap. Sums run over HASHED bytes at a time, so nothing but the spans grows with the data;
     the few spans that cross an edge are summed in pieces.
     """
     h = np.empty(len(start), U)
-    at = np.arange(0, len(data) + 1, WINDOW)
-    for low, i, j in zip(at.tolist(), np.searchsorted(start, at).tolist(), np.searchsorted(start, at + WINDOW).tolist(), strict=True):
+    at = np.arange(0, len(data) + 1, HASHED)
+    for low, i, j in zip(at.tolist(), np.searchsorted(start, at).tolist(), np.searchsorted(start, at + HASHED).tolist(), strict=True):
         if i == j:
             continue
-        cut = min(low + WINDOW, len(data))
+        cut = min(low + HASHED, len(data))
         total = np.zeros(cut - low + 1, U)
-        np.cumsum((data[low:cut].astype(U) + U(1)) * _power(_BASE, WINDOW)[: cut - low], out=total[1:])
+        np.cumsum((data[low:cut].astype(U) + U(1)) * _power(_BASE, HASHED)[: cut - low], out=total[1:])
         a, b = start[i:j] - low, np.minimum(end[i:j], cut) - low
-        h[i:j] = (total[b] - total[a]) * _power(_BASE_INVERSE, WINDOW)[a]
-        for p in range(cut, int(end[j - 1]), WINDOW):  # the last span may go on
-            piece = data[p : min(p + WINDOW, int(end[j - 1]))].astype(U) + U(1)
+        h[i:j] = (total[b] - total[a]) * _power(_BASE_INVERSE, HASHED)[a]
+        for p in range(cut, int(end[j - 1]), HASHED):  # the last span may go on
+            piece = data[p : min(p + HASHED, int(end[j - 1]))].astype(U) + U(1)
             far = pow(int(_BASE), p - int(start[j - 1]), 1 << 64)
-            h[j - 1 : j] += (piece * _power(_BASE, WINDOW)[: len(piece)]).sum(dtype=U, keepdims=True) * U(far)
+            h[j - 1 : j] += (piece * _power(_BASE, HASHED)[: len(piece)]).sum(dtype=U, keepdims=True) * U(far)
     return mix(h + (end - start).astype(U) * U(0xA0761D6478BD642F))
 
 

@@ -14,7 +14,7 @@ smaller than at RADIUS lines on either side.
    emitted in vain, no more.
 3. All occurrences but the first, by id and place, go; so do the lines beside them up to the first that differs from its
    counterpart beside the first occurrence, or to the next chunk that goes: the ends of a passage that chunks don't meet. The
-   lines are fetched by place, REACH of them and in further rounds GROW times as many where all were equal.
+   lines are fetched by place, REACH of them and in further rounds the square of the last number where all were equal.
 4. What goes in one run has LEAST_RUN words at least: phrases that merely recur stay.
 """
 
@@ -29,8 +29,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._spark import cut, ship, table, with_rest
-from ._text import NOT_SPACE, Texts, U, blocks, hash_spans, mix, spans_of, texts_of
+from ._spark import cut, release, ship, table, with_rest
+from ._text import Texts, U, blocks, hash_spans, mix, spans_of, texts_of
 
 LEAST_WORDS = 8
 PARAGRAPH = 20
@@ -41,23 +41,34 @@ UNSPACED, WRAP_CHARS = 64, 12
 RADIUS = 4
 #: Words of a run of lines that goes. Where spaces are rare, eight bytes count as a word.
 LEAST_RUN = 20
-#: Lines that are compared at first beside a chunk that goes, and by how much this number grows while all are equal.
-REACH, GROW = 8, 8
-#: Bytes, by estimate, of what may be broadcast to be joined to the documents; beyond it the join shuffles.
-BROADCAST_BYTES = 64_000_000
+#: Lines that are compared at first beside a chunk that goes, and at most; their number is squared while all are equal.
+REACH, FARTHEST = 8, 1 << 24
+#: Bytes that Spark's hash table of a list joined to the documents may take in the driver; beyond it the join shuffles.
+BROADCAST_BYTES = 32_000_000
 #: Binary logarithm of the most bits of the table of repeated hashes: 2**29 bits are 64 MB. It has 32 to 64 bits a hash, until
 #: 16 million hashes repeat; beyond that more chunks are emitted in vain.
 TABLE = 29
+#: Binary logarithm of the most 64-bit words of that table that the driver fetches at once.
+FETCHED = 20
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?,;:")] = True
 
 
-class Lines(NamedTuple):
-    """Lines of a block of texts. Line n is the bytes start[n] .. end[n] without what follows up to the next line."""
+class Spans(NamedTuple):
+    """Where the lines of a block of texts are. Line n is the bytes start[n] .. end[n] without what follows up to the next line."""
 
     start: np.ndarray
     end: np.ndarray
     first: np.ndarray  # first line of each text
+    words: np.ndarray
+
+
+class Lines(NamedTuple):
+    """Spans, and what chunks are made of."""
+
+    start: np.ndarray
+    end: np.ndarray
+    first: np.ndarray
     hash: np.ndarray
     roll: np.ndarray  # hash of the cut after each line
     forced: np.ndarray  # whether there is a cut after it in any case
@@ -77,33 +88,43 @@ def _breaks(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     return ((near ^ (near >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(12)
 
 
-def lines_of(texts: Texts) -> Lines:
+def line_spans(texts: Texts) -> Spans:
     data, n = texts.data, len(texts.data)
-    solid = NOT_SPACE[data]
-    feed = data == 10
-    brk = feed.copy()
+    solid = (data != 32) & ((data < 9) | (data > 13))  # as NOT_SPACE, without a lookup a byte
+    brk = data == 10
     word, stop = spans_of(solid, texts.offsets)
     if n:
-        gap = np.flatnonzero(data[2 : max(2, n - 2)] == 32) + 2
-        brk[gap[_breaks(data, gap) % np.where(_STOP[data[gap - 1]], 2, WRAP) == 0]] = True
-        for a, b in zip(word[stop - word >= UNSPACED].tolist(), stop[stop - word >= UNSPACED].tolist(), strict=True):
+        space = data == 32
+        for by in (-2, -1, 0, 1):  # the two bytes on either side are of the same text, whatever texts are beside it
+            space[np.clip(texts.offsets + by, 0, n - 1)] = False
+        gap = np.flatnonzero(space)
+        near = _breaks(data, gap)
+        brk[gap[np.where(_STOP[data[gap - 1]], near % np.uint32(2), near % np.uint32(WRAP)) == 0]] = True
+        unspaced = stop - word >= UNSPACED
+        for a, b in zip(word[unspaced].tolist(), stop[unspaced].tolist(), strict=True):
             char = np.flatnonzero((data[a + 3 : b - 3] & 0xC0) != 0x80) + a + 3  # characters that begin well inside
             brk[char[_breaks(data, char) % WRAP_CHARS == 0] - 1] = True
-        final = texts.offsets[1:][texts.offsets[1:] > 0] - 1
-        brk[final] = feed[final] = True
+        brk[texts.offsets[1:][texts.offsets[1:] > 0] - 1] = True
     edge = np.flatnonzero(brk) + 1
     start = np.concatenate([[0], edge[:-1]]) if len(edge) else edge
     last = np.searchsorted(word, edge) - 1  # a line ends with the last word that begins before its break
     end = np.where(last >= 0, np.minimum(np.append(stop, 0)[last], edge), 0)
     full = end > start
     start, end = start[full], end[full]
+    words = np.maximum(np.diff(np.searchsorted(word, np.append(start, n))), (end - start) // 8)
+    return Spans(start, end, np.searchsorted(start, texts.offsets), words)
+
+
+def lines_of(texts: Texts) -> Lines:
+    data = texts.data
+    start, end, first, words = line_spans(texts)
     h = hash_spans(data, start, end)
-    first = np.searchsorted(start, texts.offsets)
     final = first[1:][first[1:] > first[:-1]] - 1
     roll = mix(h[:-1] * U(0x9E3779B97F4A7C15) + h[1:]) if len(h) else h
     roll = np.append(roll, U(0)) if len(h) else h
-    words = np.maximum(np.diff(np.searchsorted(word, np.append(start, n))), (end - start) // 8)
-    # paragraphs: runs of lines without a line feed between
+    # paragraphs: runs of lines without a line feed or the end of a text between
+    feed = data == 10
+    feed[texts.offsets[1:][texts.offsets[1:] > 0] - 1] = True
     feeds = np.searchsorted(np.flatnonzero(feed), start)
     ends = np.append(feeds[1:] != feeds[:-1], True) if len(h) else np.zeros(0, bool)
     forced = np.zeros(len(h), bool)
@@ -187,45 +208,50 @@ def _fetched(bits, least_words: int):
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that `asked` (place, step of -1 or 1, number) names, those nearest to the place first."""
+    """The lines that `asked` (place, number times the step of -1 or 1, and so on) names, those nearest to the place first."""
     for batch in batches:
-        asked = batch.column("asked").to_pylist()
+        whole = batch.column("asked")
         for i, j, texts in blocks(texts_of(batch.column("text"))):
-            lines = lines_of(texts)
+            lines, asked = line_spans(texts), whole.slice(i, j - i).to_pylist()
             raw = texts.data.tobytes()
             text, place, step, out = [], [], [], []
             for d in range(j - i):
                 low, high = int(lines.first[d]), int(lines.first[d + 1])
-                for a in asked[i + d]:
-                    at = low + a["place"]
-                    some = range(at - 1, max(low, at - a["number"]) - 1, -1) if a["step"] < 0 else range(at, min(high, at + a["number"]))
-                    text.append(d), place.append(a["place"]), step.append(a["step"]), out.append([raw[lines.start[x] : lines.end[x]] for x in some])
+                for p, number in zip(asked[d][::2], asked[d][1::2], strict=True):
+                    at = low + p
+                    some = range(at - 1, max(low, at + number) - 1, -1) if number < 0 else range(at, min(high, at + number))
+                    text.append(d), place.append(p), step.append(-1 if number < 0 else 1), out.append([raw[lines.start[x] : lines.end[x]] for x in some])
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text, pa.int64())), pa.array(place, pa.int32()), pa.array(step, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["of", "place", "step", "lines"])
 
 
 def _table(repeated: DataFrame) -> np.ndarray:
-    """The bit table of hashes, its size by their number: at most 2**(TABLE - 6) words reach the driver."""
+    """The bit table of hashes, its size by their number: at most 2**(TABLE - 6) words reach the driver, 2**FETCHED at once."""
     size = min(TABLE, max(7, repeated.count().bit_length() + 5))
     at = F.shiftrightunsigned("hash", 64 - size)
-    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - size}) & 63 as int))")).alias("bits")).toPandas()
+    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - size}) & 63 as int))")).alias("bits"))
     out = np.zeros(1 << (size - 6), U)
-    out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(U)
+    words = cut(words) if len(out) > 1 << FETCHED else words
+    for low in range(0, len(out), 1 << FETCHED):
+        some = words.filter(F.col("word").between(low, low + (1 << FETCHED) - 1)).toPandas()
+        out[some["word"].to_numpy(np.int64)] = some["bits"].to_numpy(np.int64).view(U)
     return out
 
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The texts without the lines that `gone` (first line, number) names."""
+    """The texts without the lines that `gone` (first line, number, and so on) names."""
     for batch in batches:
-        gone, rest = batch.column("gone").to_pylist(), ["rest"] * ("rest" in batch.schema.names)
+        rest = ["rest"] * ("rest" in batch.schema.names)
         whole = batch.column("text")
         for i, j, texts in blocks(texts_of(whole)):
-            lines = lines_of(texts)
+            lines, gone = line_spans(texts), batch.column("gone").slice(i, j - i).to_pylist()
             out, removed = whole.slice(i, j - i).to_pylist(), np.zeros(j - i, np.int64)
             for d in range(j - i):
                 low, high = int(lines.first[d]), int(lines.first[d + 1])
                 drop = np.zeros(high - low, bool)
-                for g in gone[i + d] or ():
-                    drop[g["from"] : g["from"] + g["number"]] = True
+                if not gone[d]:
+                    continue
+                for a, number in zip(gone[d][::2], gone[d][1::2], strict=True):
+                    drop[a : a + number] = True
                 for a, b in zip(*(x.tolist() for x in spans_of(drop, np.array([0, len(drop)]))), strict=True):
                     drop[a:b] = lines.words[low + a : low + b].sum() >= LEAST_RUN
                 if drop.any():
@@ -244,9 +270,27 @@ def _alike(a: str, b: str) -> Column:
 
 
 def _attached(rows: DataFrame, each: DataFrame, entries: str = "gone", how: str = "left") -> DataFrame:
-    """Join each(of, entries), one row an id, to the documents by id: broadcast if it is small, else by a shuffle."""
-    size = each.agg(F.sum(F.size(entries) * 24 + 48)).first()[0] or 0
-    return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each, rows["id"] == each["of"], how).drop("of")
+    """Join each(of, entries: array<int>), one row an id, to the documents by id: broadcast if it is small, else by a shuffle.
+
+    The driver holds a broadcast table several times over while it builds it, so only BROADCAST_BYTES may go through it.
+    """
+    size = each.agg(F.sum(F.length(F.col("of").cast("string")) + F.size(entries) * 4 + 96)).first()[0] or 0
+    if size > BROADCAST_BYTES:
+        release(rows.sparkSession)  # the texts are about to be shuffled
+    return rows.join(F.broadcast(each) if size <= BROADCAST_BYTES else each.hint("shuffle_hash"), rows["id"] == each["of"], how).drop("of")
+
+
+def _runs(gone: DataFrame) -> DataFrame:
+    """(of, gone) of the lines gone(id, from, number): an id's runs as first line and number, one after the other.
+
+    Runs that touch or overlap are one, so the list is as long as the removed passages are many, not their chunks.
+    """
+    order = Window.partitionBy("id").orderBy("from", "number")
+    end = F.col("from") + F.col("number")
+    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    told = gone.withColumn("new", F.when(F.col("from") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(order))
+    runs = told.groupBy("id", "run").agg(F.min("from").alias("from"), F.max(end).alias("end"))
+    return runs.groupBy(F.col("id").alias("of")).agg(F.flatten(F.collect_list(F.array("from", F.col("end") - F.col("from")))).alias("gone"))
 
 
 def _ends(rows: DataFrame, later: DataFrame) -> Iterator[DataFrame]:
@@ -265,7 +309,7 @@ def _ends(rows: DataFrame, later: DataFrame) -> Iterator[DataFrame]:
         number = F.least(F.coalesce("room", F.lit(reach)), F.lit(reach)).alias("number")
         asked = sides.select(F.col("id").alias("of"), "place", "step", number).unionByName(sides.select(F.col("fid").alias("of"), F.col("fplace").alias("place"), "step", number))
         asked = asked.groupBy("of", "place", "step").agg(F.max("number").alias("number"))
-        asked = cut(asked.groupBy("of").agg(F.collect_list(F.struct("place", "step", "number")).alias("asked")))
+        asked = cut(asked.groupBy("of").agg(F.flatten(F.collect_list(F.array("place", F.col("number") * F.col("step")))).alias("asked")))
         # rows that share an id may differ: only what they agree on counts
         found = _attached(rows, asked, "asked", "inner").mapInArrow(_beside, fields).groupBy("of", "place", "step").agg(F.min("lines").alias("lines"), F.max("lines").alias("most"))
         found = cut(found.filter("lines = most").drop("most"))
@@ -277,7 +321,7 @@ def _ends(rows: DataFrame, later: DataFrame) -> Iterator[DataFrame]:
         yield grown.select("id", F.when(F.col("step") > 0, F.col("place")).otherwise(F.col("place") - F.col("same")).alias("from"), F.col("same").alias("number"))
         on = grown.filter((F.col("same") == reach) & (F.col("room").isNull() | (F.col("room") > reach)))
         sides = on.select("id", "fid", "step", *((F.col(p) + F.col("step") * F.col("same")).alias(p) for p in ("place", "fplace")), (F.col("room") - reach).alias("room"))
-        reach *= GROW
+        reach = min(reach * reach, FARTHEST)
 
 
 def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str, ...] = (), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -296,14 +340,17 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     hashes = some.select("text").mapInArrow(_listed(least_words), "hash long")
     bits = docs.sparkSession.sparkContext.broadcast(_table(cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))))
     fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()))))
+    bits.destroy()
     # written, so that the join meets two shuffles as they are and a very common chunk can be split
     firsts = cut(fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))
     later = cut(later.select("id", "at", "size", F.col("f.id").alias("fid"), F.col("f.at").alias("fat")))
+    del hashes, fetched, firsts  # what nothing refers to can be released
     gone = later.select("id", F.col("at").alias("from"), F.col("size").alias("number"))
     for more in _ends(some, later):
         gone = gone.unionByName(more)
-    gone = cut(gone.groupBy(F.col("id").alias("of")).agg(F.sort_array(F.collect_set(F.struct("from", "number"))).alias("gone")))
+    gone = cut(_runs(gone))
+    del later
     rows = with_rest(docs, id_col, text_col, carry)
     out = of(("text", T.StringType()), ("n_lines", T.LongType()), ("n_removed", T.LongType()))
     return _attached(rows, gone).mapInArrow(_applied, T.StructType(out.fields + rows.schema.fields[2:]))

@@ -381,6 +381,34 @@ def test_a_full_bit_table_changes_no_result(spark, monkeypatch):
     assert all(t.split("\n") == _passage(30 + n, 80, 5).split("\n") + _passage(40 + n, 80, 5).split("\n") for n, t in want if n)
 
 
+def test_a_removed_passage_is_one_run_and_lists_may_be_shuffled(spark, monkeypatch):
+    copy = "\n".join(_passage(60 + n, 25) for n in range(12))
+    docs = spark.createDataFrame([(n, copy if n < 3 else f"{_passage(80 + n, 30)}\n{copy}\n{_passage(90 + n, 30)}") for n in range(6)], "doc_id long, text string")
+    listed, attached = {}, linededup._attached
+
+    def spied(rows, each, entries="gone", how="left"):
+        listed.setdefault(entries, []).extend(len(r[entries]) for r in each.collect())
+        return attached(rows, each, entries, how)
+
+    monkeypatch.setattr(linededup, "_attached", spied)
+    want = {(r.id, r.text, r.n_lines, r.n_removed) for r in linededup.dedupe(docs).collect()}
+    assert sum(not t for _, t, _, _ in want) == 2 and listed["gone"] == [2] * 5  # first line and number, however many chunks
+    monkeypatch.setattr(linededup, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(linededup, "FETCHED", 0)  # the bit table a word at a time
+    shuffled = linededup.dedupe(docs)
+    assert "BroadcastHashJoin" not in shuffled._jdf.queryExecution().executedPlan().toString()
+    assert {(r.id, r.text, r.n_lines, r.n_removed) for r in shuffled.collect()} == want
+
+
+def test_lines_of_a_text_depend_on_no_other_text():
+    texts = [f"one two three four five {x}" for x in "abcdefghijklmnopqrstuvwxyz"] * 8
+    rng = random.Random(14)
+    rng.shuffle(texts)
+    alone = [len(linededup.lines_of(Texts(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]))).start) for t in texts]
+    together = linededup.lines_of(Texts(np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])))
+    assert np.diff(together.first).tolist() == alone
+
+
 def test_documents_keep_their_own_words_beside_a_shared_passage(spark):
     shared = _passage(7, 170)
     texts = [(0, shared), (1, f"{_passage(50, 30)}\n{shared}"), (2, shared)]
