@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +35,17 @@ def _byte_letters() -> dict[str, int]:
 
 
 def _newer_letters() -> str:
-    """Characters that the regex module takes for letters or digits and the tokenizers library, of an older Unicode, doesn't."""
+    """Characters that the regex module takes for letters or digits and the tokenizers library, of an older Unicode, doesn't.
+
+    Only the library can tell; without it texts that hold them would be counted wrong, so its absence is an error.
+    """
     try:
         from tokenizers.pre_tokenizers import ByteLevel
-    except ImportError:
-        return ""
+    except ImportError as error:
+        raise RuntimeError("the driver needs the tokenizers library, whose counts are to be matched") from error
     cut, wide = ByteLevel(add_prefix_space=False), regex.compile(r"[\p{L}\p{N}]")
-    unassigned = (chr(c) for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn")
-    return "".join(c for c in unassigned if wide.match(c) and len(cut.pre_tokenize_str("!" + c)) == 1)
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    return "".join(c for c in wide.findall(every) if len(cut.pre_tokenize_str("!" + c)) == 1)
 
 
 class Merges:

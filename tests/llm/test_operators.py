@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import sys
 from collections import Counter
 from pathlib import Path
 
@@ -155,6 +156,14 @@ def test_tokens_are_those_of_the_library(spark, rows):
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(texts[r.doc_id].encode()), n, n > 512)
 
 
+def test_tokens_without_the_library_are_an_error(spark, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setitem(sys.modules, "tokenizers.pre_tokenizers", None)  # importing it fails
+    with pytest.raises(RuntimeError, match="tokenizers"):
+        tokens.count_tokens(spark.createDataFrame([(1, "a\u1c89b")], "doc_id long, text string"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def words_of(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
