@@ -25,6 +25,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,8 +49,9 @@ BROADCAST_BYTES = 32_000_000
 #: Binary logarithm of the most bits of the table of repeated hashes: 2**29 bits are 64 MB. It has 32 to 64 bits a hash, until
 #: 16 million hashes repeat; beyond that more chunks are emitted in vain.
 TABLE = 29
-#: Binary logarithm of the most 64-bit words of that table that the driver fetches at once.
-FETCHED = 20
+#: Binary logarithm of the most 64-bit words of that table that the driver holds at once: what it has fetched goes out as a
+#: broadcast of its own. Executors make the table in at most 2**PIECES pieces, so no row of Spark's stands for a single word.
+FETCHED, PIECES = 20, 10
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?,;:")] = True
 
@@ -184,7 +186,18 @@ def _listed(least_words: int):
     return run
 
 
-def _fetched(bits, least_words: int):
+def _may_repeat(bits: list[Broadcast], hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes have their bit in the table, whose parts are of equal size."""
+    each = len(bits[0].value).bit_length() - 1
+    at = hashes >> U(64 - (len(bits).bit_length() - 1 + each + 6))
+    word, out = at >> U(6), np.zeros(len(hashes), bool)
+    for n, part in enumerate(bits):
+        here = np.flatnonzero(word >> U(each) == U(n))
+        out[here] = (part.value[word[here] & U((1 << each) - 1)] >> (at[here] & U(63))) & U(1)
+    return out
+
+
+def _fetched(bits: list[Broadcast], least_words: int):
     """The bytes of the chunks that may be repeated, with the line each begins at."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,9 +207,8 @@ def _fetched(bits, least_words: int):
                 raw = texts.data.tobytes()
                 line = lambda n: raw[lines.start[n] : lines.end[n]]  # noqa: B023, E731
                 for c in divisions(lines, least_words):
-                    at = c.hash >> U(64 - (len(bits.value).bit_length() + 5))
-                    maybe = c.fit & ((bits.value[at >> U(6)] >> (at & U(63))) & U(1)).astype(bool)
-                    some = np.flatnonzero(maybe)
+                    fit = np.flatnonzero(c.fit)
+                    some = fit[_may_repeat(bits, c.hash[fit])]
                     text = np.searchsorted(c.first, some, "right") - 1
                     body = []
                     for n in some.tolist():
@@ -224,16 +236,41 @@ def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text, pa.int64())), pa.array(place, pa.int32()), pa.array(step, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["of", "place", "step", "lines"])
 
 
-def _table(repeated: DataFrame) -> np.ndarray:
-    """The bit table of hashes, its size by their number: at most 2**(TABLE - 6) words reach the driver, 2**FETCHED at once."""
+def _pieces(size: int, piece: int):
+    """The pieces of 2**piece words, of a table of 2**size bits, that hold the bits of hashes: number and bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            at = np.sort(batch.column("hash").to_numpy().view(U) >> U(64 - size))
+            if not len(at):
+                continue
+            begin = np.flatnonzero(np.append(True, at[1:] >> U(6) != at[:-1] >> U(6)))
+            bits, word = np.bitwise_or.reduceat(U(1) << (at & U(63)), begin), (at[begin] >> U(6)).astype(np.int64)
+            of, first = np.unique(word >> piece, return_index=True)
+            for n, a, b in zip(of.tolist(), first, np.append(first[1:], len(word)), strict=True):
+                held.setdefault(n, np.zeros(1 << piece, U))[word[a:b] - (n << piece)] |= bits[a:b]
+        for n, words in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([words.tobytes()], pa.binary())], ["piece", "bits"])
+
+    return run
+
+
+def _table(repeated: DataFrame) -> list[Broadcast]:
+    """The bit table of hashes, its size by their number, in parts of 2**FETCHED words: the driver holds no more at once."""
     size = min(TABLE, max(7, repeated.count().bit_length() + 5))
-    at = F.shiftrightunsigned("hash", 64 - size)
-    words = repeated.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(hash, {64 - size}) & 63 as int))")).alias("bits"))
-    out = np.zeros(1 << (size - 6), U)
-    words = cut(words) if len(out) > 1 << FETCHED else words
-    for low in range(0, len(out), 1 << FETCHED):
-        some = words.filter(F.col("word").between(low, low + (1 << FETCHED) - 1)).toPandas()
-        out[some["word"].to_numpy(np.int64)] = some["bits"].to_numpy(np.int64).view(U)
+    part = min(FETCHED, size - 6)
+    piece = min(part, max(0, size - 6 - PIECES))
+    number = F.shiftright(F.shiftrightunsigned("hash", 64 - size), 6 + piece)
+    pieces = cut(repeated.repartition(number).mapInArrow(_pieces(size, piece), "piece long, bits binary"))
+    out = []
+    for n in range(1 << (size - 6 - part)):
+        words = np.zeros(1 << part, U)
+        some = pieces.filter(F.shiftright("piece", part - piece) == n).toArrow()
+        for at, held in zip(some["piece"].to_pylist(), some["bits"], strict=True):
+            begin = (at << piece) - (n << part)
+            words[begin : begin + (1 << piece)] = np.frombuffer(held.as_buffer(), U)
+        out.append(repeated.sparkSession.sparkContext.broadcast(words))
     return out
 
 
@@ -338,9 +375,10 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     key, number = ("hash", T.LongType()), T.IntegerType()
     some = rows.filter("id is not null and text is not null")
     hashes = some.select("text").mapInArrow(_listed(least_words), "hash long")
-    bits = docs.sparkSession.sparkContext.broadcast(_table(cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))))
+    bits = _table(cut(hashes.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash")))
     fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()))))
-    bits.destroy()
+    for part in bits:
+        part.destroy()
     # written, so that the join meets two shuffles as they are and a very common chunk can be split
     firsts = cut(fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))

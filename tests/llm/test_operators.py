@@ -409,6 +409,27 @@ def test_a_removed_passage_is_one_run_and_lists_may_be_shuffled(spark, monkeypat
     assert {(r.id, r.text, r.n_lines, r.n_removed) for r in shuffled.collect()} == want
 
 
+def test_the_driver_gets_the_bit_table_as_a_few_pieces(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    rng = np.random.default_rng(3)
+    h = np.unique(rng.integers(-(2**63), 2**63, 70_000))
+    rows = []  # that the driver gets: a row a word took over 400 MB for 2**20 words
+    for name in ("toArrow", "toPandas", "collect"):
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, f=getattr(DataFrame, name): rows.append(len(out := f(self, *a))) or out)
+    monkeypatch.setattr(linededup, "FETCHED", 14)
+    bits = linededup._table(spark.createDataFrame([(int(x),) for x in h], "hash long"))
+    assert sum(rows) <= 1 << linededup.PIECES and len(bits) > 1 and all(len(b.value) <= 1 << 14 for b in bits)
+    size = (sum(len(b.value) for b in bits) * 64).bit_length() - 1
+    want = np.zeros(1 << (size - 6), np.uint64)
+    at = h.view(np.uint64) >> np.uint64(64 - size)
+    np.bitwise_or.at(want, at >> np.uint64(6), np.uint64(1) << (at & np.uint64(63)))
+    assert (np.concatenate([b.value for b in bits]) == want).all()
+    assert linededup._may_repeat(bits, h.view(np.uint64)).all()
+    other = rng.integers(0, 2**63, 10_000).view(np.uint64)
+    assert linededup._may_repeat(bits, other).mean() < 0.1
+
+
 def test_lines_of_a_text_depend_on_no_other_text():
     texts = [f"one two three four five {x}" for x in "abcdefghijklmnopqrstuvwxyz"] * 8
     rng = random.Random(14)
