@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from ._spark import cut, release, ship, table, with_rest
 from ._text import Texts, U, blocks, hash_spans, mix, spans_of, texts_of
+from .graph import few
 
 LEAST_WORDS = 8
 PARAGRAPH = 20
@@ -220,20 +221,20 @@ def _fetched(bits: list[Broadcast], least_words: int):
 
 
 def _beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines that `asked` (place, number times the step of -1 or 1, and so on) names, those nearest to the place first."""
+    """The lines that `asked` (place, number times the step of -1 or 1, kind, and so on) names, those nearest to the place first."""
     for batch in batches:
         whole = batch.column("asked")
         for i, j, texts in blocks(texts_of(batch.column("text"))):
             lines, asked = line_spans(texts), whole.slice(i, j - i).to_pylist()
             raw = texts.data.tobytes()
-            text, place, step, out = [], [], [], []
+            text, place, step, kind, out = [], [], [], [], []
             for d in range(j - i):
                 low, high = int(lines.first[d]), int(lines.first[d + 1])
-                for p, number in zip(asked[d][::2], asked[d][1::2], strict=True):
+                for p, number, k in zip(asked[d][::3], asked[d][1::3], asked[d][2::3], strict=True):
                     at = low + p
                     some = range(at - 1, max(low, at + number) - 1, -1) if number < 0 else range(at, min(high, at + number))
-                    text.append(d), place.append(p), step.append(-1 if number < 0 else 1), out.append([raw[lines.start[x] : lines.end[x]] for x in some])
-            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text, pa.int64())), pa.array(place, pa.int32()), pa.array(step, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["of", "place", "step", "lines"])
+                    text.append(d), place.append(p), step.append(-1 if number < 0 else 1), kind.append(k), out.append([raw[lines.start[x] : lines.end[x]] for x in some])
+            yield pa.RecordBatch.from_arrays([batch.column("id").slice(i, j - i).take(pa.array(text, pa.int64())), pa.array(place, pa.int32()), pa.array(step, pa.int32()), pa.array(kind, pa.int32()), pa.array(out, pa.list_(pa.binary()))], ["of", "place", "step", "kind", "lines"])
 
 
 def _pieces(size: int, piece: int):
@@ -330,34 +331,44 @@ def _runs(gone: DataFrame) -> DataFrame:
     return runs.groupBy(F.col("id").alias("of")).agg(F.flatten(F.collect_list(F.array("from", F.col("end") - F.col("from")))).alias("gone"))
 
 
-def _ends(rows: DataFrame, later: DataFrame) -> Iterator[DataFrame]:
+def _ends(rows: DataFrame, later: DataFrame, shared: DataFrame | None) -> Iterator[DataFrame]:
     """The lines (id, from, number) beside the chunks later(id, at, size, fid, fat) that equal those beside (fid, fat).
 
-    A side ends where the next chunk that goes begins, so the sides of a document share no lines to compare.
+    A side ends where the next chunk that goes begins, so the sides of a document share no lines to compare. Rows that share an
+    id (`shared` names these ids, if any) may differ: only what they agree on counts.
     """
     order = Window.partitionBy("id").orderBy("at", "size")
     room = later.withColumn("above", F.col("at") - F.lag(F.col("at") + F.col("size")).over(order)).withColumn("below", F.lead("at").over(order) - F.col("at") - F.col("size"))
     side = lambda step, add, space: F.struct(F.lit(step).alias("step"), (F.col("at") + add).alias("place"), (F.col("fat") + add).alias("fplace"), F.col(space).alias("room"))
     sides = room.select("id", "fid", F.inline(F.array(side(-1, F.lit(0), "above"), side(1, F.col("size"), "below"))))
     sides = cut(sides.filter("room is null or room > 0"))
-    reach, kind = REACH, rows.schema["id"].dataType
-    fields = T.StructType([T.StructField("of", kind), T.StructField("place", T.IntegerType()), T.StructField("step", T.IntegerType()), T.StructField("lines", T.ArrayType(T.BinaryType()))])
+    del room
+    reach, spark, number_type = REACH, rows.sparkSession, T.IntegerType()
+    fields = T.StructType([T.StructField("of", rows.schema["id"].dataType), *(T.StructField(n, number_type) for n in ("place", "step", "kind")), T.StructField("lines", T.ArrayType(T.BinaryType()))])
     while sides.take(1):
         number = F.least(F.coalesce("room", F.lit(reach)), F.lit(reach)).alias("number")
-        asked = sides.select(F.col("id").alias("of"), "place", "step", number).unionByName(sides.select(F.col("fid").alias("of"), F.col("fplace").alias("place"), "step", number))
-        asked = asked.groupBy("of", "place", "step").agg(F.max("number").alias("number"))
-        asked = cut(asked.groupBy("of").agg(F.flatten(F.collect_list(F.array("place", F.col("number") * F.col("step")))).alias("asked")))
-        # rows that share an id may differ: only what they agree on counts
-        found = _attached(rows, asked, "asked", "inner").mapInArrow(_beside, fields).groupBy("of", "place", "step").agg(F.min("lines").alias("lines"), F.max("lines").alias("most"))
-        found = cut(found.filter("lines = most").drop("most"))
-        own = found.select(F.col("of").alias("id"), "place", "step", F.col("lines").alias("a"))
-        first = found.select(F.col("of").alias("fid"), F.col("place").alias("fplace"), "step", F.col("lines").alias("b"))
+        # kind has a bit for lines that are a side's own, and one for those of a first occurrence: each join gets its own kind only
+        asked = sides.select(F.col("id").alias("of"), "place", "step", number, F.lit(1).alias("kind")).unionByName(sides.select(F.col("fid").alias("of"), F.col("fplace").alias("place"), "step", number, F.lit(2).alias("kind")))
+        asked = asked.groupBy("of", "place", "step").agg(F.max("number").alias("number"), F.bit_or("kind").alias("kind"))
+        asked = cut(asked.groupBy("of").agg(F.flatten(F.collect_list(F.array("place", F.col("number") * F.col("step"), "kind"))).alias("asked")))
+        release(spark)
+        found = cut(_attached(rows, asked, "asked", "inner").mapInArrow(_beside, fields))
+        if shared is not None:
+            several = found.join(shared, found["of"] == shared["id"], "left_semi").groupBy("of", "place", "step", "kind").agg(F.min("lines").alias("lines"), F.max("lines").alias("most"))
+            found = cut(found.join(shared, found["of"] == shared["id"], "left_anti").unionByName(several.filter("lines = most").drop("most")))
+            del several
+        del asked
+        release(spark)
+        own = found.filter("kind & 1 > 0").select(F.col("of").alias("id"), "place", "step", F.col("lines").alias("a"))
+        first = found.filter("kind & 2 > 0").select(F.col("of").alias("fid"), F.col("place").alias("fplace"), "step", F.col("lines").alias("b"))
         both = sides.join(own, ["id", "place", "step"]).join(first, ["fid", "fplace", "step"])
         same = F.least(_alike("a", "b"), number)
         grown = cut(both.select("id", "fid", "step", "place", "fplace", "room", same.alias("same")).filter("same > 0"))
-        yield grown.select("id", F.when(F.col("step") > 0, F.col("place")).otherwise(F.col("place") - F.col("same")).alias("from"), F.col("same").alias("number"))
         on = grown.filter((F.col("same") == reach) & (F.col("room").isNull() | (F.col("room") > reach)))
         sides = on.select("id", "fid", "step", *((F.col(p) + F.col("step") * F.col("same")).alias(p) for p in ("place", "fplace")), (F.col("room") - reach).alias("room"))
+        del found, own, first, both
+        release(spark)
+        yield grown.select("id", F.when(F.col("step") > 0, F.col("place")).otherwise(F.col("place") - F.col("same")).alias("from"), F.col("same").alias("number"))
         reach = min(reach * reach, FARTHEST)
 
 
@@ -379,13 +390,16 @@ def dedupe(docs: DataFrame, *, least_words: int = LEAST_WORDS, carry: tuple[str,
     fetched = cut(some.mapInArrow(_fetched(bits, least_words), of(("at", number), ("size", number), key, ("body", T.BinaryType()))))
     for part in bits:
         part.destroy()
+    release(docs.sparkSession)
     # written, so that the join meets two shuffles as they are and a very common chunk can be split
     firsts = cut(fetched.groupBy("hash", "body").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).filter("n > 1").drop("n"))
     later = fetched.join(firsts, ["hash", "body"]).filter(F.struct("id", "at") > F.struct("f.id", "f.at"))
     later = cut(later.select("id", "at", "size", F.col("f.id").alias("fid"), F.col("f.at").alias("fat")))
     del hashes, fetched, firsts  # what nothing refers to can be released
+    shared = few(rows.filter("id is not null").groupBy("id").count().filter("count > 1").select("id"))
+    release(docs.sparkSession)
     gone = later.select("id", F.col("at").alias("from"), F.col("size").alias("number"))
-    for more in _ends(some, later):
+    for more in _ends(some, later, shared if shared.take(1) else None):
         gone = gone.unionByName(more)
     gone = cut(_runs(gone))
     del later

@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import sys
+import time
 from collections import Counter
 from pathlib import Path
 
@@ -13,6 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from retrova.llm import chat, decontam, langid, linededup, minhash, mixing, pii, queries, secrets, tokens, vecdedup
+from retrova.llm._spark import release
 from retrova.llm._text import Texts
 
 SF = "/root/testdata/sf0.001"
@@ -430,6 +432,41 @@ def test_the_driver_gets_the_bit_table_as_a_few_pieces(spark, monkeypatch):
     assert linededup._may_repeat(bits, other).mean() < 0.1
 
 
+def test_shuffles_and_lists_of_lines_do_not_pile_up(spark, monkeypatch):
+    copy = "\n".join(_passage(160 + n, 25) for n in range(4))
+    docs = spark.createDataFrame([(n, f"{_passage(180 + n, 30)}\n{copy}\n{_passage(190 + n, 30)}") for n in range(6)], "doc_id long, text string")
+    held, attached = [], linededup._attached
+
+    def alive():
+        return spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+
+    def spied(rows, each, entries="gone", how="left"):
+        end = time.time() + 5  # the cleaner is a thread of its own
+        while alive() > before + 6 and time.time() < end:
+            time.sleep(0.1)
+        held.append(alive() - before)
+        return attached(rows, each, entries, how)
+
+    release(spark)
+    time.sleep(1)
+    before = alive()
+    monkeypatch.setattr(linededup, "_attached", spied)
+    out = {r.id: r.n_removed for r in linededup.dedupe(docs).collect()}
+    assert out[0] == 0 and all(out[n] for n in range(1, 6))
+    assert len(held) > 1 and max(held) <= 6
+
+
+def test_rows_that_share_an_id_lose_the_ends_of_a_passage_too(spark):
+    shared = "\n".join([_passage(1, 100, 1), _passage(2, 25), _passage(3, 100, 1)])
+    text = f"{_passage(10, 30)}\n{shared}\n"
+    rows = [(0, text + _passage(20, 30)), (1, text + _passage(21, 30)), (1, text + _passage(22, 30))]
+    out = {}
+    for r in linededup.dedupe(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        out.setdefault(r.id, set()).add(r.text)
+    assert out[0] == {rows[0][1]}
+    assert out[1] == {_passage(21, 30), _passage(22, 30)}
+
+
 def test_lines_of_a_text_depend_on_no_other_text():
     texts = [f"one two three four five {x}" for x in "abcdefghijklmnopqrstuvwxyz"] * 8
     rng = random.Random(14)
