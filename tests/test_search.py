@@ -1,7 +1,12 @@
+import math
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from retrova.operators import graphindex, metrics, search
+from retrova.operators import embed, graphindex, metrics, search
+from retrova.plans import experiment as E
 
 
 def vectors(spark, m):
@@ -28,6 +33,77 @@ def test_ties_zero_vectors_and_small_tables(spark):
     assert search.batched(base.filter("vec_id > 9"), base, 3).count() == 0
 
 
+def test_equal_vectors_tie_wherever_they_stand(spark, monkeypatch):
+    """Copies over several tiles have one score each, so ties go by the id; few pairs and many agree to the last bit."""
+    m = np.random.default_rng(3).normal(size=(7, 33)).astype(np.float32)
+    base = spark.createDataFrame([(n, m[n % 7].tolist()) for n in range(500)], "vec_id long, embedding array<float>").repartition(3)
+    queries = base.filter("vec_id < 7")
+    rows = lambda x: sorted((r.query_id, r.rank, r.vec_id, r.score) for r in x.collect())
+    native = rows(search.exact(queries, base, 9))
+    assert [r[2] for r in native[:9]] == list(range(0, 63, 7))
+    monkeypatch.setattr(search, "ROW_TILE", 64)
+    monkeypatch.setattr(search, "QUERY_TILE", 3)
+    assert rows(search.batched(queries, base, 9)) == native
+    monkeypatch.setattr(search, "NATIVE_PRODUCTS", 1_000)
+    many = search.exact(queries, base, 9)
+    assert rows(many) == native and "NestedLoop" not in many._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_task_gives_the_best_of_all_its_batches(spark):
+    """What leaves a task is k rows a query, not k rows a query and batch."""
+    m = np.random.default_rng(4).normal(size=(400, 8)).astype(np.float32)
+    base = vectors(spark, m)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        whole = search.batched(base.filter("vec_id < 3"), base, 5)
+        plan = whole._jdf.queryExecution().toString()
+        assert "MapInArrow" in plan
+        best = search.Best(3, 5, "vec_id")
+        rng = np.random.default_rng(5)
+        for n in range(300):
+            query, score = rng.integers(0, 3, 1_000), rng.integers(0, 50, 1_000).astype(float)
+            best.add(query, score, pa.record_batch([pa.array(range(n * 1_000, n * 1_000 + 1_000))], ["vec_id"]))
+            assert best.rows <= best.most + 1_000
+        got = [r for b in best.out(pa.array(["a", "b", "c"])) for r in b.to_pylist()]
+        assert len(got) == 15 and all(r["score"] == 49 for r in got)
+        assert whole.count() == 15
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def bag_ranks(items, passages, k):
+    bags = lambda rows: {n: Counter((t or "").lower().split()) for n, t in rows}
+    length = lambda b: math.sqrt(sum(n * n for n in b.values()))
+    out = []
+    for q, a in bags(items).items():
+        scored = [(-round(d / (length(a) * length(b)), 9), p) for p, b in bags(passages).items() if (d := sum(n * b[w] for w, n in a.items()))]
+        out += [(q, n + 1, p, -s) for n, (s, p) in enumerate(sorted(scored)[:k])]
+    return sorted(out)
+
+
+def test_best_passages_by_words_against_all_pairs(spark, monkeypatch):
+    """The ranking by all pairs, over blocks of queries and runs of passages; ties at the last place go by the id as text."""
+    rng = np.random.default_rng(6)
+    text = lambda n: " ".join(rng.choice(["a", "B", "b", "c", "d", "\u00c9", "\u00e9"], n))
+    passages = [(f"{n}#0", text(rng.integers(1, 5))) for n in range(300)] + [("x", None), ("y", " ")]
+    items = [(n, text(rng.integers(1, 4))) for n in range(9)] + [(20, None), (21, ""), (22, "absent")]
+    rows = spark.createDataFrame(passages, "chunk_id string, text string").repartition(3)
+    asked = spark.createDataFrame(items, "query_id long, text string")
+    for pairs, block in ((1_000_000, 4_096), (20, 4)):
+        monkeypatch.setattr(embed, "PAIRS", pairs)
+        monkeypatch.setattr(search, "QUERY_BLOCK", block)
+        best = embed.bag_best(asked, rows, "query_id", "chunk_id", 12, keep=("text",))
+        assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in best.collect()) == bag_ranks(items, passages, 12)
+
+
+def test_lexical_search_shuffles_no_words(spark):
+    """Neither words nor pairs of texts are joined: there is no join in the plan, and k rows a query and task are shuffled."""
+    docs = spark.createDataFrame([(n, f"the word {n} of the text") for n in range(200)], "doc_id long, text string")
+    hits = E.lexical(docs, spark.createDataFrame([(1, "the text 7")], "query_id long, text string"), "fixed-3-1", 2)
+    assert "Join" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert [(r.rank, r.chunk_id) for r in hits.orderBy("rank").collect()] == [(1, "0#2"), (2, "1#2")]
+
+
 @pytest.fixture(scope="module")
 def cloud():
     return np.random.default_rng(0).normal(size=(1_000, 16)).astype(np.float32)
