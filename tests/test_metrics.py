@@ -1,6 +1,8 @@
+import math
+
 import pytest
 
-from retrova.operators import metrics, rank, report, stats
+from retrova.operators import metrics, rank, report, search, stats
 
 
 def rows(spark, data, schema):
@@ -17,6 +19,24 @@ def test_metrics_by_hand(spark):
     assert metrics.evaluate(ranked, qrels).first().n_queries == 3
 
 
+def test_many_judgments_are_counted_by_grade(spark, monkeypatch):
+    """Gains of many judgments of few grades as over all of them in order; no sort of the judgments, and the hits go to them."""
+    data = [(q, d, (d * 7 + q) % 4) for q in range(3) for d in range(40 + q)] + [(9, 1, 3)]
+    ranked = rows(spark, [(q, n + 1, (n * 11 + q) % 40) for q in range(3) for n in range(20)], "query_id long, rank long, doc_id long")
+    qrels = rows(spark, data, "query_id long, doc_id long, grade int")
+    want = {}
+    for q in (0, 1, 2, 9):
+        own = {d: g for k, d, g in data if k == q and g}
+        ideal = sum(g / math.log2(n + 2) for n, g in enumerate(sorted(own.values(), reverse=True)[:10]))
+        want[q] = sum(own.get((n * 11 + q) % 40, 0) / math.log2(n + 2) for n in range(10)) / ideal if q < 9 else 0.0
+    for most in (1_000_000, 3):
+        monkeypatch.setattr(search, "BROADCAST_ROWS", most)
+        each = metrics.per_query(ranked, qrels)
+        assert {r.query_id: r.ndcg for r in each.collect()} == pytest.approx(want)
+        plan = each._jdf.queryExecution().optimizedPlan().toString()
+        assert "row_number" not in plan and ("strategy=broadcast" in plan) == (most > 3)
+
+
 def test_collapse_and_rerank(spark):
     hits = rows(spark, [("q", 1, "d1", 0.9, "x"), ("q", 2, "d1", 0.8, "q y"), ("q", 3, "d2", 0.7, "q"), ("q", 4, "d3", 0.6, "q")], "query_id string, rank long, doc_id string, score double, text string")
     assert [(r.rank, r.doc_id, r.score) for r in rank.collapse(hits).orderBy("rank").collect()] == [(1, "d1", 0.9), (2, "d2", 0.7), (3, "d3", 0.6)]
