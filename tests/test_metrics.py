@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 
 from retrova.operators import metrics, rank, report, search, stats
@@ -71,6 +72,34 @@ def test_resamples_are_those_of_the_reference(spark):
     assert {r.system: round(r.p * 10_001) for r in stats.randomization(stats.paired(scores, "base")).collect()} == {"up": 1, "down": 1}
 
 
+def by_hand(scores, n, resamples):
+    """p and the ends of the interval by hashlib, a resample after the other; scores is a list of (query, difference or None)."""
+    import hashlib
+
+    bits = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16)
+    mean = lambda v: sum(x for x in v if x is not None) / sum(x is not None for x in v)
+    seen = mean([d for _, d in scores])
+    flips = [mean([d if d is None else d * (1 - 2 * (bits(f"{r}:{q}") % 2)) for q, d in scores]) for r in range(resamples)]
+    drawn = [mean([scores[bits(f"{r}:{i}") % n][1] for i in range(n)]) for r in range(resamples)]
+    return (sum(abs(m) >= abs(seen) - 1e-12 for m in flips) + 1) / (resamples + 1), np.percentile(drawn, 2.5), np.percentile(drawn, 97.5)
+
+
+@pytest.mark.parametrize("table", [4_000_000, 50])
+def test_resampling_by_hand_and_without_rows(spark, monkeypatch, table):
+    """Signs and draws as hashlib gives them, for ids of all lengths, systems of two sizes, nulls, and a table that goes out in parts; nothing is a row a draw."""
+    monkeypatch.setattr(stats, "TABLE", table)
+    rng, resamples = np.random.default_rng(7), 130
+    ids = sorted(f"q{n}" if n % 9 else "\u00e9" * n for n in range(1, 64))
+    diffs = {s: [(q, None if s == "gap" and n % 5 == 0 else float(rng.normal(0.3))) for n, q in enumerate(ids[:size])] for s, size in (("one", 63), ("gap", 63), ("few", 20))}
+    pairs = rows(spark, [(s, q, d) for s, own in diffs.items() for q, d in own], "system string, query_id string, diff double").repartition(3)
+    tests, ends = stats.randomization(pairs, resamples), stats.bootstrap(pairs, resamples)
+    p, ends_of = {r.system: r.p for r in tests.collect()}, {r.system: (r.low, r.high) for r in ends.collect()}
+    for system, own in diffs.items():
+        want = by_hand(own, len(own), resamples)
+        assert (p[system], *ends_of[system]) == pytest.approx(want, abs=1e-12)
+    assert not any("CartesianProduct" in x or "NestedLoop" in x for x in (d._jdf.queryExecution().executedPlan().toString() for d in (tests, ends)))
+
+
 def test_latest_and_selectors(spark):
     schema = "line_no long, model string, chunker string, index string, k_chunks int, query_prefix string, rerank string, rerank_depth int"
     log = rows(spark, [(1, "a/m", "whole", None, 10, None, None, None), (2, "a/m", "whole", "flat", 10, "", None, None), (3, "a/M2", "whole", "flat", 10, "", "x/CE", 50)], schema)
