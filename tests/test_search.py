@@ -169,6 +169,26 @@ def test_an_empty_graph_is_written_read_and_grown(spark, cloud, tmp_path):
     assert graphindex.search(stored, base.limit(0), 3)[0].count() == 0
 
 
+def test_a_walk_takes_few_steps_and_keys_sort_as_scores(spark, cloud, monkeypatch):
+    score, node = np.array([-1.5, 0.25, 0.25, -0.1, 3e-9], np.float32), np.array([7, 1, 2**30, 0, 5], np.int32)
+    keys = graphindex._keys(score, node)
+    assert np.argsort(-keys).tolist() == np.lexsort((-node, -score)).tolist()
+    assert graphindex._told(keys)[0].tolist() == node.tolist() and graphindex._told(keys)[1].tolist() == score.tolist()
+    g = graphindex.Graph(16, graphindex.Params(8, 64, 64))
+    g.add(cloud)
+    steps, made = [], graphindex._keys
+    monkeypatch.setattr(graphindex, "_keys", lambda *x: steps.append(1) or made(*x))
+    found, scores, scored = g.search(cloud[3], 10)
+    assert found[0] == 3 and len(set(found.tolist())) == 10 and (np.diff(scores) <= 0).all()
+    assert len(steps) <= 24 and scored < 1_000  # 64 nodes are looked at, 8 at once
+    base = vectors(spark, cloud[:90])
+    graph = graphindex.build(base, graphindex.Params(4, 32, 16), 2).cache()
+    rows = lambda: sorted((r.query_id, r.rank, r.vec_id) for r in graphindex.search(graph, base, 3)[0].collect())
+    whole = rows()
+    monkeypatch.setattr(graphindex, "QUERY_NUMBERS", 200)
+    assert rows() == whole and len(whole) == 270
+
+
 def test_specs():
     assert graphindex.parse_index("flat")[0] == "flat"
     assert graphindex.parse_index("hnsw-16-200-50") == ("hnsw", graphindex.Params(16, 200, 50))
