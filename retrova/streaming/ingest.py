@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,23 +29,28 @@ def deduped(docs: DataFrame) -> DataFrame:
     return docs.groupBy(F.col("id").cast("string").alias("doc_id")).agg(F.min("seq").alias("place"), own).select("place", "doc_id", "v.title", "v.text")
 
 
-def added(docs: DataFrame, chunks: DataFrame, titles: DataFrame, chunker: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+def added(docs: DataFrame, chunks: DataFrame, titles: DataFrame, chunker: Callable[[DataFrame], DataFrame], held: list[DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """(new chunks, new titles): known documents are skipped; vec_id goes on from the largest there.
 
     If no new document has a passage, nothing is recorded; else those without one are recorded by their title too. Numbering
     is one running count over the new passages: partial counts by bucket of place, then an offset each, not one sorted task.
+    What is new is found once and kept on disk, and its passages are counted without their texts being shuffled; `held` gets
+    the frames that are kept, to be let go of when the results are written.
     """
-    new = deduped(docs).join(titles, "doc_id", "left_anti")
+    new = deduped(docs).join(titles, "doc_id", "left_anti").persist(StorageLevel.DISK_ONLY)
     text = F.when(F.col("title") != "", F.concat("title", F.lit("\n\n"), "text")).otherwise(F.col("text"))
-    pieces = chunker(new.select("doc_id", text.alias("text"))).join(new.select("doc_id", "place"), "doc_id")
+    pieces = chunker(new.select("doc_id", text.alias("text")))
     start = chunks.agg(F.coalesce(F.max("vec_id") + 1, F.lit(0)).alias("start"))
-    per_doc = pieces.groupBy("place").agg(F.count("*").alias("n")).withColumn("bucket", F.floor(F.col("place") / 10_000))
+    counted = pieces.groupBy("doc_id").agg(F.count("*").alias("n"))
+    per_doc = counted.join(new.select("doc_id", "place"), "doc_id").withColumn("bucket", F.floor(F.col("place") / 10_000)).persist()
     buckets = per_doc.groupBy("bucket").agg(F.sum("n").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("bucket").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_doc.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(buckets.select("bucket", "before"), "bucket").select("place", (F.col("own") + F.col("before")).alias("offset"))
-    numbered = pieces.join(offsets, "place").crossJoin(F.broadcast(start))
-    some = numbered.select("doc_id").limit(1).select(F.lit(True).alias("some"))
+    offsets = per_doc.withColumn("own", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(buckets.select("bucket", "before"), "bucket").select("doc_id", (F.col("own") + F.col("before")).alias("offset"))
+    numbered = pieces.join(offsets, "doc_id").crossJoin(F.broadcast(start))
+    some = per_doc.select("doc_id").limit(1).select(F.lit(True).alias("some"))
     out = numbered.select((F.col("start") + F.col("offset") + F.col("pos")).alias("vec_id"), "chunk_id", "doc_id", "text")
+    if held is not None:
+        held += [new, per_doc]
     return out, new.select("doc_id", "title").crossJoin(F.broadcast(some)).drop("some")
 
 
@@ -134,8 +140,13 @@ def add(docs: DataFrame, folder: str, chunker: Callable[[DataFrame], DataFrame],
     spark = docs.sparkSession
     names = {"embedder": embedder, "chunker": chunker_name}
     chunks, titles = load(spark, folder, embedder=embedder, chunker=chunker_name) if _versions(spark, folder) else empty(spark)
-    new_chunks, new_titles = added(docs, chunks.select("vec_id", "chunk_id", "doc_id", "text"), titles, chunker)
-    return extend(vectors(new_chunks) if vectors else new_chunks, new_titles, folder, **names)
+    held: list[DataFrame] = []
+    new_chunks, new_titles = added(docs, chunks.select("vec_id", "chunk_id", "doc_id", "text"), titles, chunker, held)
+    try:
+        return extend(vectors(new_chunks) if vectors else new_chunks, new_titles, folder, **names)
+    finally:
+        for frame in held:
+            frame.unpersist()
 
 
 def build(docs: DataFrame, folder: str, chunker: Callable[[DataFrame], DataFrame], *, embedder: str, chunker_name: str, vectors: Callable[[DataFrame], DataFrame] | None = None, batch: int = BUILD_BATCH, progress: Callable[[int, int], None] = lambda done, total: None) -> None:

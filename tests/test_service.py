@@ -147,6 +147,23 @@ def test_store_grows_by_what_is_new(spark, tmp_path, monkeypatch):
     ingest.build(docs.limit(0), str(tmp_path / "none"), cut, **names)
 
 
+def test_new_documents_are_cut_twice_and_kept_only_meanwhile(spark, tmp_path):
+    """Once to count their passages and once to write them, however many tables are written."""
+    seen, before = spark.sparkContext.accumulator(0), spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    def noted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(n, f"d{n % 40}", "", f"a b c{n}") for n in range(50)], "seq long, id string, title string, text string")
+    cut = lambda rows: chunk.fixed(rows.mapInArrow(noted, rows.schema), 2, 0)
+    ingest.add(docs, str(tmp_path / "s"), cut, embedder="e", chunker_name="c")
+    assert seen.value == 80 and spark.sparkContext._jsc.getPersistentRDDs().size() == before
+    chunks, titles = ingest.load(spark, str(tmp_path / "s"), embedder="e", chunker="c")
+    assert [r.vec_id for r in chunks.orderBy("vec_id").collect()] == list(range(80)) and titles.count() == 40
+
+
 def test_hosted_models(spark):
     class Backwards:
         """A hosted client that answers in reverse order and notes the size of its requests."""
